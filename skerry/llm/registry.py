@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("credentials", "lookalike", "mojibake")
+MODULES = ("credentials", "leakage", "lookalike", "mojibake")
 
 
 def _merged(name: str) -> dict:
