@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("credentials", "leakage", "lookalike", "mojibake")
+MODULES = ("credentials", "leakage", "lookalike", "mojibake", "sentences")
 
 
 def _merged(name: str) -> dict:
