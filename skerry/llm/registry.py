@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("quantiles", "credentials", "mojibake", "lookalike", "leakage", "sentences")
+MODULES = ("quantiles", "credentials", "mojibake", "lookalike", "packing", "leakage", "sentences")
 
 
 def _merged(name: str) -> dict:
