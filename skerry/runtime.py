@@ -25,6 +25,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="skerry-ckpt-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share, for tables written between stages."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, write it to the reliable checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
