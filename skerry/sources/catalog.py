@@ -8,6 +8,7 @@ import time
 import uuid
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -162,8 +163,12 @@ class CatalogStore:
         if not fs.exists(at):
             raise CorruptCatalog(f"{self.folder}: no catalog")
         try:
-            meta = json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.folder}/CURRENT", wholetext=True).collect()))
-        except ValueError as e:
+            stream = fs.open(at)
+            try:
+                meta = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+        except (ValueError, Py4JError) as e:
             raise CorruptCatalog(f"{self.folder}: the pointer cannot be read") from e
         if meta.get("format") != FORMAT_VERSION:
             raise CorruptCatalog(f"{self.folder}: another format version")
