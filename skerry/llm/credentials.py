@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.arrow import text_stage
-from skerry.runtime import cut, table
+from skerry.runtime import broadcast_if_small, cut, table
 
 MASK = "***"
 #: Lines a spanning key may have; PEM bodies of the largest keys in use stay under 200.
@@ -70,7 +70,6 @@ HINT = (
 )
 BEGIN = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY"
 END = r"-----END [A-Z0-9 ]*PRIVATE KEY"
-INDENT = r"^[\s#/*;>%\-]*?(?:\s|(?<=[\s#*;>%]))(?=\S)"
 
 
 def sensitive(key: str) -> bool:
@@ -171,35 +170,38 @@ def _scan(batch: pa.RecordBatch) -> list[list]:
     return [keys, values, starts, lengths, redacted]
 
 
-def spanning_key_lines(df: DataFrame, key: str, group: str, line: str, text: str) -> DataFrame:
-    """(key, body): lines strictly between the BEGIN and END lines of a private key in one file.
+def spanning_key_places(rows: DataFrame) -> DataFrame:
+    """(file, line) strictly between the BEGIN and END lines of a private key.
 
-    Only mark lines are ordered within a file; the lines between are reached by an equi-join on file and line
-    number, so a file of any length is never gathered in one task.
+    Only mark lines are ordered within a file, so a file of any length is never gathered in one task. A key has at most
+    ``MAX_KEY_LINES`` lines, which bounds the places of each pair of marks.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(group).alias("file"), F.col(line).alias("line"), F.col(text).alias("text"))
     begin, end = F.col("text").rlike(BEGIN), F.col("text").rlike(END)
     marks = rows.where((begin | end) & ~(begin & end) & F.col("file").isNotNull() & F.col("line").isNotNull()).select("file", "line", begin.alias("begin")).distinct()
     w = Window.partitionBy("file").orderBy("line", F.col("begin").desc())
     open_ = marks.select("file", "line", "begin", F.lead("line").over(w).alias("to"), F.lead("begin").over(w).alias("next"))
     inner = open_.where(F.col("begin") & ~F.col("next") & (F.col("to") - F.col("line")).between(2, MAX_KEY_LINES))
-    wanted = inner.select("file", F.explode(F.sequence(F.col("line") + 1, F.col("to") - 1)).alias("line")).distinct()
-    body = F.regexp_replace(F.regexp_replace("text", r"^\s*(?:(?:#|//|--|\*|;|>|%)+\s*)?", ""), r"\s+$", "")
-    return rows.join(wanted, ["file", "line"], "left_semi").select("key", "text", body.alias("body")).where("body <> ''")
+    return inner.select("file", F.explode(F.sequence(F.col("line") + 1, F.col("to") - 1)).alias("line")).distinct()
 
 
 def scan_credentials(df: DataFrame, key: str, group: str, line: str, text: str) -> DataFrame:
-    """(key, secrets, starts, lengths, redacted): one row per row of ``df`` with a credential; offsets count bytes."""
-    hinted = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where(F.col("text").rlike(HINT) | F.col("text").contains("PRIVATE KEY"))
+    """(key, secrets, starts, lengths, redacted): one row per row of ``df`` with a credential; offsets count bytes.
+
+    Lines inside a spanning key are that key's; all other lines that carry a hint are parsed.
+    """
+    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(group).alias("file"), F.col(line).alias("line"), F.col(text).alias("text"))
+    places = broadcast_if_small(cut(spanning_key_places(rows)), 200)
+    hinted = rows.where(F.col("text").rlike(HINT) | F.col("text").contains("PRIVATE KEY")).join(places, ["file", "line"], "left_anti").select("key", "text")
     stage = text_stage([("key", pa.int64()), ("secrets", pa.list_(pa.string())), ("starts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("redacted", pa.string())], _scan)
     single = hinted.mapInArrow(stage, "key bigint, secrets array<string>, starts array<int>, lengths array<int>, redacted string")
-    lines = spanning_key_lines(df, key, group, line, text)
-    at = F.instr("text", F.col("body")) - 1
+    body = F.regexp_replace(F.regexp_replace("text", r"^\s*(?:(?:#|//|--|\*|;|>|%)+\s*)?", ""), r"\s+$", "")
+    lines = rows.join(places, ["file", "line"], "left_semi").select("key", "text", body.alias("body")).where("body <> ''")
+    head = F.substring("text", F.lit(1), F.instr("text", F.col("body")) - 1)
     inner = lines.select(
-        F.col("key").cast("bigint").alias("key"), F.array("body").alias("secrets"), F.array(F.octet_length(F.substring("text", F.lit(1), at)).cast("int")).alias("starts"),
-        F.array(F.octet_length("body").cast("int")).alias("lengths"), F.concat(F.substring("text", F.lit(1), at), F.lit(MASK), F.expr("substring(text, instr(text, body) + length(body))")).alias("redacted"),
+        "key", F.array("body").alias("secrets"), F.array(F.octet_length(head).cast("int")).alias("starts"), F.array(F.octet_length("body").cast("int")).alias("lengths"),
+        F.concat(head, F.lit(MASK), F.expr("substring(text, instr(text, body) + length(body))")).alias("redacted"),
     )
-    return single.join(inner.select("key"), "key", "left_anti").unionByName(inner)
+    return single.unionByName(inner)
 
 
 def p3_found(spark, sf_dir):
