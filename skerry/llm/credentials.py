@@ -26,7 +26,7 @@ MASK = "***"
 MAX_KEY_LINES = 1000
 
 # Words of a key name that make it sensitive, alone or joined (fixed values).
-SENSITIVE_WORDS = set("password passwd pwd pw pass passphrase passcode secret token credential credentials contraseña contrasena kennwort passwort senha clave parola пароль 密码 パスワード 비밀번호 apikey authtoken accesstoken mdp motdepasse psk".split())
+SENSITIVE_WORDS = set("password passwd pwd pw pass passe passphrase passcode secret token credential credentials contraseña contrasena kennwort passwort senha clave parola пароль 密码 パスワード 비밀번호 apikey authtoken accesstoken mdp motdepasse psk".split())
 SENSITIVE_PAIRS = set("apikey accesskey accountkey signingkey secretkey privatekey authkey encryptionkey masterkey storagekey sharedkey clientkey servicekey motdepasse".split())
 SENSITIVE_TAILS = ("password", "passwd", "pwd", "pass", "secret", "token", "apikey", "passphrase", "authtoken", "kennwort", "passwort", "contraseña")
 # Words of a key name that say the value describes or refers to a credential (fixed values).
@@ -54,7 +54,7 @@ QUOTED = re.compile(
     rf"(?P<key>{NAME})(?P<sep>\\?[\"'`]?\]?\)?\s*(?:=>|:=|<-|[=:,])\s*(?:\w+\(\s*)?|\(|[\"']\s+value\s*=\s*|\s+|\s*\|\s*|\s+(?:is|was|=|to)\s+)(?P<q>\\?[\"'`])(?P<v>.*?)(?<!\\)(?P=q)"
 )
 ELEMENT = re.compile(rf"<(?P<key>{NAME})(?:\s[^<>]*)?>(?P<v>[^<>]+)</(?P=key)>")
-PLAIN = re.compile(rf"(?P<key>{NAME})(?P<sep>\s*(?:=>|:=|=|:)\s*)(?P<v>[^\s\"'`;&<>|]+(?:;[^\s\"'`;&<>|=]++(?!=))?)")
+PLAIN = re.compile(rf"(?P<key>{NAME})(?P<sep>\s*(?:=>|:=|=|:)\s*)(?!//)(?P<v>[^\s\"'`;&<>|]+(?:;[^\s\"'`;&<>|=]++(?!=))?)")
 WORDED = re.compile(
     rf"(?:\b(?:setenv|old|--?)\s*(?P<key>{NAME})(?:\s+was\s+|\s+|=)(?P<v>[^\s\"'`]+?)(?=,?\s|,?$)"
     r"|\bmachine\s+\S+\s+login\s+\S+\s+password\s+(?P<netrc>\S+)|\bsshpass\s+-p\s*(?P<ssh>[^\s\"'`]+)|\blogin\b.*?\s(?:-p|--password)[\s=]+(?P<docker>[^\s\"'`]+)"
@@ -74,7 +74,7 @@ END = r"-----END [A-Z0-9 ]*PRIVATE KEY"
 
 def sensitive(key: str) -> bool:
     """True if a key name says that its value grants access."""
-    words = [w.lower() for w in WORD.findall(key.replace("de_passe", "depasse").replace("mot_", "mot"))]
+    words = [w.lower() for w in WORD.findall(key)]
     if not words or words[-1] in HARMLESS_WORDS or HARMLESS_WORDS.intersection(words[-2:]) or "public" in words:
         return False
     if words[-1] in SENSITIVE_WORDS or any(a + b in SENSITIVE_PAIRS for a, b in zip(words, words[1:])):
@@ -109,8 +109,9 @@ def find_secrets(text: str) -> list[tuple[int, int]]:
 
     at = 0
     while m := QUOTED.search(text, at):
-        at = m.end("key") if not sensitive(m["key"]) else m.end()
         value, (a, b) = m["v"], m.span("v")
+        # A harmless pair is passed over whole, unless its value may hold a pair, names a credential or is an argument.
+        at = m.end() if re.search("[:=]", m["sep"]) and not re.search("[:=]", value) and not (" " not in value and sensitive(value)) else m.end("key")
         if sensitive(m["key"]) or m["key"].lower() in ("authorization", "auth"):
             s = SCHEME.match(value)
             a += s.end() if s else 0

@@ -80,6 +80,9 @@ CASES = [
     ("mysql -h db -u root -pf0QQ98 lexer", ["f0QQ98"]),
     ('k = "-----BEGIN PRIVATE KEY-----\\nabc\\n-----END PRIVATE KEY-----"', ["-----BEGIN PRIVATE KEY-----\\nabc\\n-----END PRIVATE KEY-----"]),
     ('password = "orbit lantern river 53"', ["orbit lantern river 53"]),
+    ("https://hooks.test/in?token=13c70e1b4675&room=8", ["13c70e1b4675"]),
+    ('.withMotDePasse("TysJU4W0yV")', ["TysJU4W0yV"]),
+    ("settings = {'secretTitle': 'Enter your password', 'debug': True}", []),
     ('password = ""', []),
     ('password = "********"', []),
     ('password = "${DB_PASSWORD}"', []),
