@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.arrow import text_stage
+from skerry.llm.lookalike import skeleton
 from skerry.runtime import table
 
 PAIR_BITS = 20
@@ -45,7 +46,10 @@ WRONG = ["cp1252", "latin-1", "cp437", "cp850", "cp852", "cp866", "cp1250", "cp1
 # Encodings that texts are really in (fixed values).
 RIGHT = ["utf-8", "cp1252", "cp1250", "cp1251", "cp866", "koi8-r", "cp1253", "cp1254", "cp437", "cp850", "mac_roman", "iso8859-2", "cp874", "gb18030", "big5", "cp932", "euc_jp", "cp949"]
 WIDE = {"gb18030", "big5", "cp932", "euc_jp", "cp949"}
-RUN = re.compile(r"[^\x00-\x7f]+(?: ?[^\x00-\x7f]+)*")
+RUN = re.compile(r"[^\x00-\x7f]+")
+PHRASE = re.compile(r"[^\x00-\x7f]+(?: ?[^\x00-\x7f]+)*")
+#: A run in which single ASCII characters stand between: second bytes of a double-byte encoding.
+MIXED = re.compile(r"[^\x00-\x7f](?:[@-~]?[^\x00-\x7f])*+[@-~]?")
 LOST = re.compile("[\x80-\x9f�]")
 
 
@@ -90,7 +94,7 @@ def structurally_wrong(text: str) -> bool:
     """True if a text has lost characters, or a run of it reads as strict multi-byte UTF-8 under a wrong decoder."""
     if LOST.search(text):
         return True
-    for m in RUN.finditer(text):
+    for m in PHRASE.finditer(text):
         run = m[0].replace(" ", "")
         for codec in WRONG:
             if len(run) < (3 if codec in WIDE else 2):
@@ -187,13 +191,17 @@ def improbable_segments(text: str, model: PairModel) -> list[tuple[int, int]]:
 
 def restore_run(run: str, before: str, after: str, model: PairModel) -> tuple[str, str, str, float] | None:
     """(restored, wrong decoder, right encoding, gain) of the best accepted inverse mapping of a run."""
-    now = model.support(pairs_of_framed(before, run, after))
+    # A spelling in other letter case is as good as the text itself.
+    now = max(model.support(pairs_of_framed(before, x, after)) for x in {run, run.lower(), run.upper()})
+    plain = not run.strip("\u00a0\u2002\u2003\u2007\u2009\u202f\u3000") or skeleton(run).isascii()
     best, seen = None, {run}
     for wrong in WRONG:
         raw = encode_run(run, wrong)
         if raw is None or raw.isascii():
             continue
         for right in RIGHT:
+            if right != "utf-8" and plain:  # spaces and look-alike letters are another matter
+                continue
             if right == wrong or (wrong in WIDE and right != "utf-8" and right not in WIDE):
                 continue
             if right == "utf-8":
@@ -227,6 +235,27 @@ def restore_run(run: str, before: str, after: str, model: PairModel) -> tuple[st
     return best[:4] if best else None
 
 
+def restore_mixed(run: str, before: str, after: str, model: PairModel) -> tuple[str, str, str, float] | None:
+    """Like ``restore_run`` for a run with ASCII characters in it, read from a double-byte encoding."""
+    now, best = model.support(pairs_of_framed(before, run, after)), None
+    for wrong in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251"):
+        raw = encode_run(run, wrong)
+        if raw is None:
+            continue
+        for right in sorted(WIDE):
+            try:
+                good = raw.decode(right)
+            except UnicodeDecodeError:
+                continue
+            wide = [c for c in good if c > "\x7f"]
+            if LOST.search(good) or len(wide) < 2 or len(good) > 0.67 * len(run):
+                continue
+            gain = model.support(pairs_of_framed(before, good, after)) - now
+            if gain >= GAIN_OTHER and (best is None or gain > best[3]):
+                best = (good, wrong, right, gain)
+    return best
+
+
 def pairs_of_framed(before: str, run: str, after: str) -> list[tuple[str, str]]:
     framed = before + re.sub(r"\d", "0", run) + after
     return [(a, b) for a, b in zip(framed, framed[1:]) if a > "\x7f" or b > "\x7f"]
@@ -236,22 +265,26 @@ def repair(text: str, model: PairModel, memo: dict | None = None) -> tuple[str,
     """(restored text, mappings used, wholly restored) of an affected text, None if it is not affected."""
     memo = {} if memo is None else memo
     spans = improbable_segments(text, model)
-    out, used, at = [], [], 0
-    if spans:
-        for m in re.finditer(r"[^\x00-\x7f]+", text):
-            if not any(a < m.end() and m.start() < b for a, b in spans):
-                continue
+    hits: list[tuple[int, int, tuple]] = []
+    for pattern, restore in ((RUN, restore_run), (MIXED, restore_mixed)) if spans else ():
+        for m in pattern.finditer(text):
             a, b = m.span()
-            key = (text[a - 1 : a] or " ", m[0], text[b : b + 1] or " ")
+            if restore is restore_mixed and not any(c < "\x80" for c in m[0]):
+                continue
+            if not any(x < b and a < y for x, y in spans) or any(x < b and a < y for x, y, _ in hits):
+                continue
+            key = (text[a - 1 : a] or " ", m[0], text[b : b + 1] or " ", restore is restore_run)
             if key not in memo:
                 if len(memo) > 50_000:
                     memo.clear()
-                memo[key] = restore_run(m[0], *(re.sub(r"\d", "0", x) for x in (key[0], key[2])), model) if len(m[0]) <= 4000 else restore_run(m[0][:4000], " ", " ", model) and None
-            hit = memo[key]
-            if hit:
-                out += [text[at:a], hit[0]]
-                used.append(f"{hit[2]}>{hit[1]}")
-                at = b
+                memo[key] = restore(m[0], *(re.sub(r"\d", "0", x) for x in (key[0], key[2])), model)
+            if memo[key]:
+                hits.append((a, b, memo[key]))
+    out, used, at = [], [], 0
+    for a, b, hit in sorted(hits):
+        out += [text[at:a], hit[0]]
+        used.append(f"{hit[2]}>{hit[1]}")
+        at = b
     fixed = "".join([*out, text[at:]])
     lost = bool(LOST.search(fixed))
     if used or LOST.search(text):
