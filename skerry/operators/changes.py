@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.runtime import broadcast_if_small
+from skerry.runtime import broadcast_if_small, cut
 from skerry.sources.catalog import below_excluded
 
 ROW = ["path", "size", "mod", "is_dir"]
@@ -53,7 +53,7 @@ def in_subtrees(rows: DataFrame, roots: DataFrame, how: str = "left_semi", stric
 
 def apply_changes(entries: DataFrame, changed: DataFrame, state: DataFrame, excludes: tuple[str, ...] = ()) -> DataFrame:
     """(path, size, mod, is_dir) of the next version; the present one is left as it is."""
-    known = classify(changed, entries, state, excludes)
+    known = cut(classify(changed, entries, state, excludes))  # as large as the batch; used five times below
     trees = known.where("effect in ('remove', 'walk', 'retype')").select("path")
     own = known.where("is_dir is not null")
     kept = in_subtrees(entries.select(*ROW).join(broadcast_if_small(known.select("path"), PATH_BYTES), "path", "left_anti"), trees, "left_anti")
@@ -77,5 +77,5 @@ def debounce_batches(notices: DataFrame) -> DataFrame:
     marked = rows.withColumn("day", day).withColumn("new", F.when(gap.isNull() | (gap > DEBOUNCE_QUIET_MS), 1).otherwise(0))
     runs = marked.withColumn("run", F.sum("new").over(Window.partitionBy("day").orderBy("ms").rangeBetween(Window.unboundedPreceding, 0)))
     first = F.min("ms").over(Window.partitionBy("day", "run"))
-    cut = runs.withColumn("part", F.floor((F.col("ms") - first) / DEBOUNCE_MOST_MS))
-    return cut.groupBy("day", "run", "part", "path").agg(F.count("*").alias("n"), F.min("ms").alias("first_ms"))
+    parts = runs.withColumn("part", F.floor((F.col("ms") - first) / DEBOUNCE_MOST_MS))
+    return parts.groupBy("day", "run", "part", "path").agg(F.count("*").alias("n"), F.min("ms").alias("first_ms"))
