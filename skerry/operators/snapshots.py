@@ -80,11 +80,16 @@ def _parents(level: DataFrame) -> DataFrame:
     )
 
 
-def _differing(level: DataFrame, pairs: int) -> DataFrame:
-    """(pair, leaf) of the nodes that differ between capture order pair-1 and pair; a missing node differs from any."""
-    sides = level.select(F.explode(F.array(F.col("ord"), F.col("ord") + 1)).alias("pair"), "leaf", (F.col("ord")).alias("o"), F.struct("d1", "d2", "n").alias("d"))
-    both = sides.where(F.col("pair").between(1, pairs)).groupBy("pair", "leaf").agg(
-        F.max(F.when(F.col("o") == F.col("pair"), F.col("d"))).alias("now"), F.max(F.when(F.col("o") < F.col("pair"), F.col("d"))).alias("was")
+def _differing(level: DataFrame, pairs: int, above: DataFrame | None = None) -> DataFrame:
+    """(pair, leaf) of the nodes that differ between capture order pair-1 and pair; a missing node differs from any.
+
+    With ``above`` only the children of those nodes are compared.
+    """
+    sides = level.select(F.explode(F.array(F.col("ord"), F.col("ord") + 1)).alias("pair"), "leaf", "ord", F.struct("d1", "d2", "n").alias("d")).where(F.col("pair").between(1, pairs))
+    if above is not None:
+        sides = sides.withColumn("top", F.shiftrightunsigned("leaf", FANOUT_BITS)).join(above.select("pair", F.col("leaf").alias("top")), ["pair", "top"], "left_semi")
+    both = sides.groupBy("pair", "leaf").agg(
+        F.max(F.when(F.col("ord") == F.col("pair"), F.col("d"))).alias("now"), F.max(F.when(F.col("ord") < F.col("pair"), F.col("d"))).alias("was")
     )
     return both.where(~F.col("now").eqNullSafe(F.col("was"))).select("pair", "leaf")
 
@@ -94,15 +99,10 @@ def differing_leaves(leaves: DataFrame, leaf_bits: int, pairs: int) -> DataFrame
     levels = [leaves]
     for _ in range((leaf_bits + FANOUT_BITS - 1) // FANOUT_BITS):
         levels.append(_parents(levels[-1]))
-    open_nodes = _differing(levels.pop(), pairs)
+    found = _differing(levels.pop(), pairs)
     while levels:
-        level = levels.pop()
-        top = F.shiftrightunsigned("leaf", FANOUT_BITS)
-        need = open_nodes.select(F.explode(F.array("pair", F.col("pair") - 1)).alias("ord"), F.col("leaf").alias("top")).distinct()
-        kids = level.withColumn("top", top).join(need, ["ord", "top"], "left_semi").drop("top")
-        found = _differing(kids, pairs).withColumn("top", top)
-        open_nodes = found.join(open_nodes.withColumnRenamed("leaf", "top"), ["pair", "top"], "left_semi").select("pair", "leaf")
-    return open_nodes
+        found = _differing(levels.pop(), pairs, found)
+    return found
 
 
 def snapshot_changes(entries: DataFrame, snapshots: DataFrame, leaf_bits: int | None = None) -> DataFrame:
