@@ -38,6 +38,8 @@ TAU = 1.0
 #: Least gain in mean log frequency for a restored run: UTF-8 carries its own check, other encodings do not, and a single
 #: character least of all.
 GAIN_UTF8, GAIN_OTHER, GAIN_SINGLE = 0.7, 2.2, 3.0
+#: So many different runs of a text may be restored by one mapping that is too weak for each of them.
+SCATTERED = 3
 #: Share of a run's bytes that must form valid UTF-8 where the run was cut or lost characters.
 VALID = 0.6
 
@@ -256,6 +258,29 @@ def restore_mixed(run: str, before: str, after: str, model: PairModel) -> tuple[
     return best
 
 
+def restore_scattered(runs: list[tuple[str, str, str]], model: PairModel) -> tuple[list[str], str, str] | None:
+    """One mapping for several short runs (before, run, after) of a text that are too weak alone."""
+    now = [model.support(pairs_of_framed(*r)) for r in runs]
+    best = None
+    for wrong in WRONG:
+        raws = [encode_run(r[1], wrong) for r in runs] if wrong not in WIDE else [None]
+        if None in raws:
+            continue
+        for right in RIGHT:
+            if right == wrong or right == "utf-8" or right in WIDE:
+                continue
+            try:
+                good = [raw.decode(right) for raw in raws]
+            except UnicodeDecodeError:
+                continue
+            if any(LOST.search(g) or g == r[1] for g, r in zip(good, runs)):
+                continue
+            gain = sum(model.support(pairs_of_framed(r[0], g, r[2])) - n for g, r, n in zip(good, runs, now)) / len(runs)
+            if gain >= GAIN_OTHER and (best is None or gain > best[0]):
+                best = (gain, good, wrong, right)
+    return best and best[1:]
+
+
 def pairs_of_framed(before: str, run: str, after: str) -> list[tuple[str, str]]:
     framed = before + re.sub(r"\d", "0", run) + after
     return [(a, b) for a, b in zip(framed, framed[1:]) if a > "\x7f" or b > "\x7f"]
@@ -280,6 +305,12 @@ def repair(text: str, model: PairModel, memo: dict | None = None) -> tuple[str,
                 memo[key] = restore(m[0], *(re.sub(r"\d", "0", x) for x in (key[0], key[2])), model)
             if memo[key]:
                 hits.append((a, b, memo[key]))
+    left = [m for m in RUN.finditer(text) if any(x < m.end() and m.start() < y for x, y in spans) and not any(x < m.end() and m.start() < y for x, y, _ in hits)] if spans else []
+    if len({m[0] for m in left}) >= SCATTERED and not any(skeleton(m[0]).isascii() for m in left):
+        frames = [(re.sub(r"\d", "0", text[m.start() - 1 : m.start()] or " "), m[0], re.sub(r"\d", "0", text[m.end() : m.end() + 1] or " ")) for m in left]
+        joint = restore_scattered(frames, model)
+        if joint:
+            hits += [(m.start(), m.end(), (good, joint[1], joint[2])) for m, good in zip(left, joint[0])]
     out, used, at = [], [], 0
     for a, b, hit in sorted(hits):
         out += [text[at:a], hit[0]]
