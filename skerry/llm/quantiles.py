@@ -23,6 +23,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,18 +152,20 @@ def _trees(number: np.ndarray, groups: pa.Table, node: np.ndarray, count: np.nda
 
 
 def digest(df: DataFrame, keys: list[str], value: str, epsilon: float = EPSILON) -> DataFrame:
-    """(keys, node, cnt, slack): one tree per group and portion of rows; NULL values are left out. Nothing is shuffled."""
+    """(keys, node, cnt, slack, portion): one tree per group and portion of rows; NULL values are left out. Nothing is shuffled."""
     k = factor(epsilon)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _portions(batches):
+        task = TaskContext.get().partitionId() << 24
+        for portion, t in enumerate(_portions(batches)):
             number, groups = _numbered(t, keys)
             node = (1 << LEVELS) + cells_of(t[value].to_numpy().astype(np.int64))
-            yield from _trees(number, groups, node, np.ones(len(node), np.int64), np.zeros(groups.num_rows, np.int64), k).to_batches(max_chunksize=50_000)
+            trees = _trees(number, groups, node, np.ones(len(node), np.int64), np.zeros(groups.num_rows, np.int64), k)
+            yield from trees.append_column("portion", pa.array(np.full(trees.num_rows, task + portion))).to_batches(max_chunksize=50_000)
 
     rows = df.select(*keys, F.col(value).cast("bigint").alias(value)).where(F.col(value).isNotNull())
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
-    return rows.mapInArrow(work, f"{types}, node bigint, cnt bigint, slack bigint").withColumn("portion", F.spark_partition_id().cast("bigint"))
+    return rows.mapInArrow(work, f"{types}, node bigint, cnt bigint, slack bigint, portion bigint")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -189,8 +192,8 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 def merge(trees: DataFrame, keys: list[str], epsilon: float = EPSILON, at: Sequence[float] | None = None) -> DataFrame:
     """Trees merged to the groups of ``keys``: again trees, or with ``at`` (keys, n, rank_error, p.. per percentile).
 
-    Equal nodes are added before the shuffle; after it a task holds one merged tree at a time, whose size is bounded by
-    the universe and in practice by a few times k.
+    Equal nodes are added first, with a partial sum before each shuffle, so what reaches the task of a group is bounded by
+    the universe and not by the number of portions, and a hot group is as small as any other.
     """
     k = factor(epsilon)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trees.schema.fields if f.name in keys)
@@ -218,7 +221,7 @@ def merge(trees: DataFrame, keys: list[str], epsilon: float = EPSILON, at: Seque
 
     # The slack of a portion counts once: it travels on a row of its own, with node 0.
     sources = [c for c in trees.columns if c not in ("node", "cnt", "slack")]
-    nodes = trees.select(*keys, "node", "cnt", F.lit(0).cast("bigint").alias("slack"))
+    nodes = trees.groupBy(*keys, "node").agg(F.sum("cnt").alias("cnt")).withColumn("slack", F.lit(0).cast("bigint"))
     slack = trees.where("slack > 0").groupBy(*sources).agg(F.max("slack").alias("slack")).select(*keys, F.lit(0).cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("cnt"), "slack")
     rows = nodes.unionByName(slack).repartition(*keys).sortWithinPartitions(*keys)
     if at is None:
