@@ -23,7 +23,6 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,29 +142,29 @@ def _numbered(t: pa.Table, keys: list[str]) -> tuple[np.ndarray, pa.Table]:
 
 
 def _trees(number: np.ndarray, groups: pa.Table, node: np.ndarray, count: np.ndarray, slack: np.ndarray, k: int) -> pa.Table:
-    n = np.bincount(number, weights=count, minlength=groups.num_rows).astype(np.int64)
-    limit = n // k
+    """Compressed trees as (keys, node, cnt); the slack of a tree stands in a row with node 0, so it adds up like a count."""
+    limit = np.bincount(number, weights=count, minlength=groups.num_rows).astype(np.int64) // k
     g, node, count = compress(number, node, count, limit)
+    slack = slack + LEVELS * limit
+    loose = np.flatnonzero(slack)
+    g, node, count = np.r_[g, loose], np.r_[node, np.zeros(len(loose), np.int64)], np.r_[count, slack[loose]]
     order = np.argsort(g, kind="stable")
-    g, node, count = g[order], node[order], count[order]
-    return groups.take(pa.array(g)).append_column("node", pa.array(node)).append_column("cnt", pa.array(count)).append_column("slack", pa.array((slack + LEVELS * limit)[g]))
+    return groups.take(pa.array(g[order])).append_column("node", pa.array(node[order])).append_column("cnt", pa.array(count[order]))
 
 
 def digest(df: DataFrame, keys: list[str], value: str, epsilon: float = EPSILON) -> DataFrame:
-    """(keys, node, cnt, slack, portion): one tree per group and portion of rows; NULL values are left out. Nothing is shuffled."""
+    """(keys, node, cnt): one tree per group and portion of rows; NULL values are left out. Nothing is shuffled."""
     k = factor(epsilon)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 24
-        for portion, t in enumerate(_portions(batches)):
+        for t in _portions(batches):
             number, groups = _numbered(t, keys)
             node = (1 << LEVELS) + cells_of(t[value].to_numpy().astype(np.int64))
-            trees = _trees(number, groups, node, np.ones(len(node), np.int64), np.zeros(groups.num_rows, np.int64), k)
-            yield from trees.append_column("portion", pa.array(np.full(trees.num_rows, task + portion))).to_batches(max_chunksize=50_000)
+            yield from _trees(number, groups, node, np.ones(len(node), np.int64), np.zeros(groups.num_rows, np.int64), k).to_batches(max_chunksize=50_000)
 
     rows = df.select(*keys, F.col(value).cast("bigint").alias(value)).where(F.col(value).isNotNull())
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
-    return rows.mapInArrow(work, f"{types}, node bigint, cnt bigint, slack bigint, portion bigint")
+    return rows.mapInArrow(work, f"{types}, node bigint, cnt bigint")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -202,30 +201,25 @@ def merge(trees: DataFrame, keys: list[str], epsilon: float = EPSILON, at: Seque
         for t in _whole_groups(batches, keys):
             number, groups = _numbered(t, keys)
             node, count = t["node"].to_numpy(), t["cnt"].to_numpy()
-            gathered = np.zeros(groups.num_rows, np.int64)
-            np.add.at(gathered, number, t["slack"].to_numpy())
             real = node > 0
+            gathered = np.bincount(number[~real], weights=count[~real], minlength=groups.num_rows).astype(np.int64)
             out = _trees(number[real], groups, node[real], count[real], gathered, k)
             if at is None:
                 yield from out.to_batches()
                 continue
             g, merged = _numbered(out, keys)
-            n = np.bincount(g, weights=out["cnt"].to_numpy(), minlength=merged.num_rows).astype(np.int64)
-            error = np.zeros(merged.num_rows, np.int64)
-            np.maximum.at(error, g, out["slack"].to_numpy())
-            p = percentiles_of(g, out["node"].to_numpy(), out["cnt"].to_numpy(), merged.num_rows, at)
+            node, count = out["node"].to_numpy(), out["cnt"].to_numpy()
+            real = node > 0
+            n, error = (np.bincount(g[x], weights=count[x], minlength=merged.num_rows).astype(np.int64) for x in (real, ~real))
+            p = percentiles_of(g[real], node[real], count[real], merged.num_rows, at)
             merged = merged.append_column("n", pa.array(n)).append_column("rank_error", pa.array(error))
             for i, q in enumerate(at):
                 merged = merged.append_column(f"p{round(q * 100):02d}", pa.array(p[:, i]))
             yield from merged.to_batches()
 
-    # The slack of a portion counts once: it travels on a row of its own, with node 0.
-    sources = [c for c in trees.columns if c not in ("node", "cnt", "slack")]
-    nodes = trees.groupBy(*keys, "node").agg(F.sum("cnt").alias("cnt")).withColumn("slack", F.lit(0).cast("bigint"))
-    slack = trees.where("slack > 0").groupBy(*sources).agg(F.max("slack").alias("slack")).select(*keys, F.lit(0).cast("bigint").alias("node"), F.lit(0).cast("bigint").alias("cnt"), "slack")
-    rows = nodes.unionByName(slack).repartition(*keys).sortWithinPartitions(*keys)
+    rows = trees.groupBy(*keys, "node").agg(F.sum("cnt").alias("cnt")).repartition(*keys).sortWithinPartitions(*keys)
     if at is None:
-        return rows.mapInArrow(work, f"{types}, node bigint, cnt bigint, slack bigint")
+        return rows.mapInArrow(work, f"{types}, node bigint, cnt bigint")
     return rows.mapInArrow(work, f"{types}, n bigint, rank_error bigint, " + ", ".join(f"p{round(q * 100):02d} bigint" for q in at))
 
 
