@@ -109,6 +109,24 @@ def test_credentials(text, want):
     assert "".join(pieces[i] + (want[i] if i < len(want) else "") for i in range(len(pieces))) == text or credentials.MASK in text
 
 
+HINTED = [
+    "CREATE USER svc IDENTIFIED BY 'l4nt3rn';", "Пароль: Zx81kQ77", "ПАРОЛЬ = 'Zx81kQ77'", "CONTRASEÑA=Zx81kQ77", "https://svc:a/b:c9@host.test/x", "x github_pat_" + "a1" * 12, "pw2 = 'Zx81kQ77'", "api1Key = 'Zx81kQ77'",
+    "curl\u00a0-u\u00a0svc:Zx81kQ77 https://x.test", "api_k_ey = 'Zx81kQ77'", "apik_ey = 'Zx81kQ77'", "sshpass -p Zx81kQ77 ssh h", "docker login -u a --password Zx81kQ77", "pw for db is Zx81kQ77", "login('a', 'Zx81kQ77')", "login: svc / Zx81kQ77",
+    *(f"{w} = 'Zx81kQ77'" for w in sorted(credentials.SENSITIVE_WORDS | {w[:-3] + "_" + w[-3:] for w in credentials.SENSITIVE_PAIRS - {"motdepasse"}} | {"my" + t for t in credentials.SENSITIVE_TAILS})), *(f"{w.upper()} = 'Zx81kQ77'" for w in sorted(credentials.SENSITIVE_WORDS)),
+    *("x " + t for t in ("ghs_" + "a1" * 18, "glpat-" + "a1" * 9, "xoxb-" + "a1" * 9, "npm_" + "a1" * 18, "pypi-" + "a1" * 9, "dop_v1_" + "a1" * 20, "hf_" + "a1" * 12, "sk_live_" + "a1" * 9, "AIza" + "a1" * 18, "SG." + "a1" * 9 + "." + "b2" * 12, "brk_" + "a1" * 12, "AKIA" + "A1" * 8, "eyJ" + "a1" * 9 + ".eyJ" + "b2" * 9 + "." + "c3" * 9, "sq0csp-" + "a1" * 12, "shpat_" + "a1" * 16, "AGE-SECRET-KEY-1" + "A1" * 22)),
+]
+
+
+def test_every_rule_passes_the_hint(spark):
+    rows = list(enumerate([t for t, want in CASES if want] + HINTED))
+    want = {i: [t[a:b] for a, b in credentials.find_secrets(t)] for i, t in rows}
+    df = frame(spark, rows, "hit_id bigint, text string").withColumns({"path": F.lit("/f"), "line": F.col("hit_id")})
+    got = {r.key: list(r.secrets) for r in credentials.scan_credentials(df, "hit_id", "path", "line", "text").collect()}
+    missing = {t for i, t in rows if want[i] and i not in got}
+    assert not missing and got == {i: w for i, w in want.items() if w}
+    assert {t for i, t in rows if not want[i]} <= {"api_k_ey = 'Zx81kQ77'"}
+
+
 def test_spanning_keys_and_offsets(spark):
     rows = [(1, "/f", 5, "# -----BEGIN EC PRIVATE KEY-----"), (2, "/f", 6, "#   AAA+/="), (3, "/f", 7, "\tBBB\r"), (4, "/f", 8, "# -----END EC PRIVATE KEY-----"), (5, "/f", 9, "CCC"), (6, "/f", 6, "#   AAA+/=")]
     rows += [(7, "/g", 1, "-----BEGIN PUBLIC KEY-----"), (8, "/g", 2, "DDD"), (9, "/g", 3, "-----END PUBLIC KEY-----"), (10, "/h", 1, "-----BEGIN PRIVATE KEY-----"), (11, "/h", 2, "EEE"), (12, None, 2, "x"), (13, "/f", None, "y"), (14, "/i", 1, None)]
