@@ -2,10 +2,12 @@
 
 1. Pair statistics. Adjacent character pairs with a non-ASCII member are counted over every row, in a hashed table of
    ``2**PAIR_BITS`` slots, so the model has the same bounded size for any corpus. Rows that show the structure of
-   multi-byte text read as single bytes are left out of the counts, otherwise frequent damage would look normal.
+   multi-byte text read as single bytes are left out of the counts, otherwise frequent damage would look normal. Two models
+   are kept: one counts rows, the other each distinct text once, so that copies of one damaged text do not vote for it.
 2. Each pair gets its smoothed mutual information; maximum-scoring segments of improbable pairs are isolated.
 3. Only inside those segments, inverse mappings (encode with the wrong decoder, decode with the right one) are tried. One
    is accepted if the pairs of the restored text are sufficiently more frequent in the corpus than those that stand there.
+   By the model of distinct texts all other runs are tried too, since many damaged texts make their pairs probable.
 
 A replacement character or a C1 control marks a record whose original is lost at that place.
 
@@ -40,6 +42,8 @@ TAU = 1.0
 GAIN_UTF8, GAIN_OTHER, GAIN_SINGLE = 0.7, 2.2, 3.0
 #: So many different runs of a text may be restored by one mapping that is too weak for each of them.
 SCATTERED = 3
+#: Least gain for a run outside the improbable segments, and its least length.
+GAIN_FREQUENT, FREQUENT = 3.0, 2
 #: Share of a run's bytes that must form valid UTF-8 where the run was cut or lost characters.
 VALID = 0.6
 
@@ -124,17 +128,21 @@ def pairs_of(text: str) -> list[tuple[str, str]]:
 
 
 def _count(batch: pa.RecordBatch) -> list[list]:
-    pairs: Counter = Counter()
-    for text, n in Counter(batch.column(0).to_pylist()).items():
+    """(slot, rows, distinct texts) of a batch of (distinct text, its rows)."""
+    pairs: dict[tuple[str, str], list[int]] = {}
+    for text, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
         if not structurally_wrong(text):
             for p in pairs_of(text):
-                pairs[p] += n
-    slots: Counter = Counter()
-    for (a, b), n in pairs.items():
-        slots[pair_slot(a, b)] += n
-        slots[-1 - (ord(a) & ((1 << CHAR_BITS) - 1))] += n
-        slots[-1 - (1 << CHAR_BITS) - (ord(b) & ((1 << CHAR_BITS) - 1))] += n
-    return [list(slots), list(slots.values())]
+                got = pairs.setdefault(p, [0, 0])
+                got[0] += n
+                got[1] += 1
+    rows: Counter = Counter()
+    once: Counter = Counter()
+    for (a, b), (n, d) in pairs.items():
+        for slot in (pair_slot(a, b), -1 - (ord(a) & ((1 << CHAR_BITS) - 1)), -1 - (1 << CHAR_BITS) - (ord(b) & ((1 << CHAR_BITS) - 1))):
+            rows[slot] += n
+            once[slot] += d
+    return [list(rows), list(rows.values()), [once[s] for s in rows]]
 
 
 class PairModel:
@@ -286,24 +294,28 @@ def pairs_of_framed(before: str, run: str, after: str) -> list[tuple[str, str]]:
     return [(a, b) for a, b in zip(framed, framed[1:]) if a > "\x7f" or b > "\x7f"]
 
 
-def repair(text: str, model: PairModel, memo: dict | None = None) -> tuple[str, list[str], bool] | None:
-    """(restored text, mappings used, wholly restored) of an affected text, None if it is not affected."""
+def repair(text: str, model: PairModel, memo: dict | None = None, frequent: bool = False) -> tuple[str, list[str], bool] | None:
+    """(restored text, mappings used, wholly restored) of an affected text, None if it is not affected.
+
+    ``frequent`` tries the runs outside the improbable segments as well.
+    """
     memo = {} if memo is None else memo
     spans = improbable_segments(text, model)
     hits: list[tuple[int, int, tuple]] = []
-    for pattern, restore in ((RUN, restore_run), (MIXED, restore_mixed)) if spans else ():
+    for pattern, restore in ((RUN, restore_run), (MIXED, restore_mixed)) if spans or frequent else ():
         for m in pattern.finditer(text):
             a, b = m.span()
             if restore is restore_mixed and not any(c < "\x80" for c in m[0]):
                 continue
-            if not any(x < b and a < y for x, y in spans) or any(x < b and a < y for x, y, _ in hits):
+            improbable = any(x < b and a < y for x, y in spans)
+            if not (improbable or frequent and b - a >= FREQUENT) or any(x < b and a < y for x, y, _ in hits):
                 continue
             key = (text[a - 1 : a] or " ", m[0], text[b : b + 1] or " ", restore is restore_run)
             if key not in memo:
                 if len(memo) > 50_000:
                     memo.clear()
                 memo[key] = restore(m[0], *(re.sub(r"\d", "0", x) for x in (key[0], key[2])), model)
-            if memo[key]:
+            if memo[key] and (improbable or memo[key][3] >= GAIN_FREQUENT):
                 hits.append((a, b, memo[key]))
     left = [m for m in RUN.finditer(text) if any(x < m.end() and m.start() < y for x, y in spans) and not any(x < m.end() and m.start() < y for x, y, _ in hits)] if spans else []
     if len({m[0] for m in left}) >= SCATTERED and not any(skeleton(m[0]).isascii() for m in left):
@@ -323,22 +335,33 @@ def repair(text: str, model: PairModel, memo: dict | None = None) -> tuple[str,
     return None
 
 
-def fit_pairs(texts: DataFrame) -> PairModel:
-    """Pair statistics of every row of a one-column frame; the result has a fixed size and may be broadcast."""
-    odd = texts.where(F.octet_length("text") > F.char_length("text")).select("text")
-    counts = odd.mapInArrow(text_stage([("slot", pa.int64()), ("n", pa.int64())], _count), "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    return PairModel((r.slot, r.n) for r in counts.toLocalIterator())
+def repair_by_both(text: str, models: tuple[PairModel, PairModel], memos: tuple[dict, dict]) -> tuple[str, list[str], bool] | None:
+    """``repair`` by the model of rows and then, on its result, by that of distinct texts."""
+    first = repair(text, models[0], memos[0])
+    second = repair(first[0] if first else text, models[1], memos[1], frequent=True)
+    if first and second:
+        return second[0], sorted({*first[1], *second[1]}), second[2]
+    return second or first
+
+
+def fit_pairs(texts: DataFrame) -> tuple[PairModel, PairModel]:
+    """Pair statistics of a one-column frame by rows and by distinct texts; the result has a fixed size and may be broadcast."""
+    odd = texts.where(F.octet_length("text") > F.char_length("text")).groupBy("text").agg(F.count("*").alias("n"))
+    stage = text_stage([("slot", pa.int64()), ("n", pa.int64()), ("d", pa.int64())], _count)
+    counts = odd.mapInArrow(stage, "slot bigint, n bigint, d bigint").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    rows = [(r.slot, r.n, r.d) for r in counts.toLocalIterator()]
+    return PairModel((s, n) for s, n, _ in rows), PairModel((s, d) for s, _, d in rows)
 
 
 def wrongly_decoded(rows: DataFrame) -> DataFrame:
     """(src, rec_id, restored, mappings, complete) of the affected rows of a frame (src, rec_id, text)."""
     model = rows.sparkSession.sparkContext.broadcast(fit_pairs(rows))
-    memo: dict = {}
+    memos: tuple[dict, dict] = ({}, {})
 
     def work(batch: pa.RecordBatch) -> list[list]:
         out: list[list] = [[], [], [], [], []]
         for src, rec, text in zip(*(c.to_pylist() for c in batch.columns)):
-            hit = repair(text, model.value, memo)
+            hit = repair_by_both(text, model.value, memos)
             if hit:
                 for column, value in zip(out, (src, rec, *hit)):
                     column.append(value)

@@ -159,6 +159,21 @@ def test_wrong_encodings(spark):
     assert mojibake.wrongly_decoded(df.where("rec_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize(("right", "wrong"), [("cp1251", "cp1252"), ("gb18030", "cp1252"), ("koi8-r", "cp1251")])
+def test_copies_of_a_damaged_text_do_not_vote_for_it(spark, right, wrong):
+    nouns = ["копии", "файлы", "пути", "записи", "каталоги"] if right != "gb18030" else ["副本", "文件", "路径", "记录", "目录"]
+    verbs = ["удалить", "проверить", "обновить", "открыть", "показать"] if right != "gb18030" else ["删除", "检查", "更新", "打开", "显示"]
+    clean = [f"{v} {n} {k}" if right != "gb18030" else f"{v}{n} {k}" for k in range(40) for v in verbs for n in nouns]
+    said = clean[0][:-2]
+    bad = "// " + said.encode(right).decode(wrong)
+    many = [f"{k} " + clean[k][:-2].encode(right).decode(wrong) for k in range(12)]
+    for damaged in ([bad] * 150, many):
+        rows = [("c", i, t) for i, t in enumerate(clean)] + [("w", i, t) for i, t in enumerate(damaged)] + [("d", i, "Größe prüfen") for i in range(3)]
+        got = mojibake.wrongly_decoded(frame(spark, rows, "src string, rec_id bigint, text string")).collect()
+        assert {(r.src, r.rec_id) for r in got} == {("w", i) for i in range(len(damaged))}
+        assert damaged is many or {r.restored for r in got} == {"// " + said}
+
+
 # ---------- look-alikes
 
 
