@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from skerry.functions.paths import extension_of, name_of
 from skerry.runtime import table
 
-MANTISSA = 16
-LEVELS = 23  # sign and (63 - MANTISSA + 1) * 2**MANTISSA cells
+#: Values below ``2**(MANTISSA + 1)``, so whole seconds of any date in use and sizes under 8 GiB, have a cell of their own.
+MANTISSA = 32
+LEVELS = 38  # sign and (63 - MANTISSA + 1) * 2**MANTISSA cells
 EPSILON = 0.01
 PERCENTILES = (0.25, 0.5, 0.75, 0.9, 0.99)
 #: Rows a task gathers before it turns them into trees.

@@ -43,6 +43,15 @@ def test_rank_error_of_merged_trees():
         assert abs(np.searchsorted(whole, v, "right") - q * n) <= slack
 
 
+def test_whole_seconds_are_exact(spark):
+    rng = random.Random(5)
+    values = [1_700_000_000 + rng.randint(0, 16_000) for _ in range(312)] + [2**33 - 1]
+    parts = quantiles.digest(frame(spark, [("a", v) for v in values], "g string, v bigint"), ["g"], "v")
+    got = quantiles.merge(parts, ["g"], at=(0.25, 0.5, 0.99)).first()
+    values.sort()
+    assert [got.p25, got.p50, got.p99, got.rank_error] == [*(values[int(np.ceil(q * len(values))) - 1] for q in (0.25, 0.5, 0.99)), 0]
+
+
 def test_small_groups_are_exact_and_mergeable(spark):
     rng = random.Random(3)
     rows = [(rng.choice(["a", "b", None]), rng.randint(0, 60_000)) for _ in range(900)] + [("a", None), ("only-null", None)]
