@@ -4,7 +4,7 @@ A line is parsed into (key path, value) candidates with their offsets: assignmen
 cells, command options, connection URLs, headers and known prose forms. A candidate is a credential if its key name is
 sensitive and its value has the shape of a literal, or if the value alone has the shape of an issued token. Redaction
 splices a mask over exactly those bytes and keeps everything else. Private keys that span several lines of a file are
-found from their BEGIN and END lines alone; the lines between are fetched by an equi-join on (file, line).
+found from their BEGIN and END lines alone; the lines between are fetched by a range join on blocks of lines of the file.
 
 Defined results: NULL or empty text has no credential and is redacted to itself; a NULL file or line number takes no part
 in a spanning key; repeated lines are reported each; the text is processed whole; extra columns are ignored.
@@ -15,15 +15,15 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.arrow import text_stage
 from skerry.runtime import broadcast_if_small, cut, table
 
 MASK = "***"
-#: Lines a spanning key may have; PEM bodies of the largest keys in use stay under 200.
-MAX_KEY_LINES = 1000
+#: Lines of a block in the join of lines to spanning keys; PEM bodies of the largest keys in use stay under 200.
+BLOCK_LINES = 1000
 
 # Words of a key name that make it sensitive, alone or joined (fixed values).
 SENSITIVE_WORDS = set("password passwd pwd pw pass passe passphrase passcode secret token credential credentials contraseña contrasena kennwort passwort senha clave parola пароль 密码 パスワード 비밀번호 apikey authtoken accesstoken mdp motdepasse psk".split())
@@ -175,17 +175,22 @@ def _scan(batch: pa.RecordBatch) -> list[list]:
 
 
 def spanning_key_places(rows: DataFrame) -> DataFrame:
-    """(file, line) strictly between the BEGIN and END lines of a private key.
+    """(key_file, block, from, to): the lines strictly between the BEGIN and END lines of a private key, by blocks of lines.
 
-    Only mark lines are ordered within a file, so a file of any length is never gathered in one task. A key has at most
-    ``MAX_KEY_LINES`` lines, which bounds the places of each pair of marks.
+    Only mark lines are ordered within a file, so a file of any length is never gathered in one task. A key of any length has
+    one row for each block that it touches.
     """
     begin, end = F.col("text").rlike(BEGIN), F.col("text").rlike(END)
     marks = rows.where((begin | end) & ~(begin & end) & F.col("file").isNotNull() & F.col("line").isNotNull()).select("file", "line", begin.alias("begin")).distinct()
     w = Window.partitionBy("file").orderBy("line", F.col("begin").desc())
     open_ = marks.select("file", "line", "begin", F.lead("line").over(w).alias("to"), F.lead("begin").over(w).alias("next"))
-    inner = open_.where(F.col("begin") & ~F.col("next") & (F.col("to") - F.col("line")).between(2, MAX_KEY_LINES))
-    return inner.select("file", F.explode(F.sequence(F.col("line") + 1, F.col("to") - 1)).alias("line")).distinct()
+    inner = open_.where(F.col("begin") & ~F.col("next") & (F.col("to") - F.col("line") >= 2))
+    first, last = block_of(F.col("line") + 1), block_of(F.col("to") - 1)
+    return inner.select(F.col("file").alias("key_file"), F.explode(F.sequence(first, last)).alias("block"), F.col("line").alias("from"), "to")
+
+
+def block_of(line: Column) -> Column:
+    return F.floor(line / BLOCK_LINES).cast("bigint")
 
 
 def scan_credentials(df: DataFrame, key: str, group: str, line: str, text: str) -> DataFrame:
@@ -195,11 +200,12 @@ def scan_credentials(df: DataFrame, key: str, group: str, line: str, text: str)
     """
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(group).alias("file"), F.col(line).alias("line"), F.col(text).alias("text"))
     places = broadcast_if_small(cut(spanning_key_places(rows)), 200)
-    hinted = rows.where(F.col("text").rlike(HINT) | F.col("text").contains("PRIVATE KEY")).join(places, ["file", "line"], "left_anti").select("key", "text")
+    inside = (F.col("file") == F.col("key_file")) & (block_of(F.col("line")) == F.col("block")) & (F.col("line") > F.col("from")) & (F.col("line") < F.col("to"))
+    hinted = rows.where(F.col("text").rlike(HINT) | F.col("text").contains("PRIVATE KEY")).join(places, inside, "left_anti").select("key", "text")
     stage = text_stage([("key", pa.int64()), ("secrets", pa.list_(pa.string())), ("starts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("redacted", pa.string())], _scan)
     single = hinted.mapInArrow(stage, "key bigint, secrets array<string>, starts array<int>, lengths array<int>, redacted string")
     body = F.regexp_replace(F.regexp_replace("text", r"^\s*(?:(?:#|//|--|\*|;|>|%)+\s*)?", ""), r"\s+$", "")
-    lines = rows.join(places, ["file", "line"], "left_semi").select("key", "text", body.alias("body")).where("body <> ''")
+    lines = rows.join(places, inside, "left_semi").select("key", "text", body.alias("body")).where("body <> ''")
     head = F.substring("text", F.lit(1), F.instr("text", F.col("body")) - 1)
     inner = lines.select(
         "key", F.array("body").alias("secrets"), F.array(F.octet_length(head).cast("int")).alias("starts"), F.array(F.octet_length("body").cast("int")).alias("lengths"),

@@ -149,6 +149,12 @@ def test_spanning_keys_and_offsets(spark):
     assert credentials.scan_credentials(df.where("hit_id < 0"), "hit_id", "path", "line", "text").count() == 0
 
 
+def test_spanning_key_of_any_length(spark):
+    rows = [(0, "/f", 990, "-----BEGIN PRIVATE KEY-----"), *((i, "/f", 990 + i, f"AAA{i}") for i in range(1, 2500)), (2500, "/f", 3490, "-----END PRIVATE KEY-----"), (2501, "/f", 3491, "BBB"), (2502, "/f", 989, "CCC"), (2503, "/g", 1000, "DDD")]
+    got = credentials.scan_credentials(frame(spark, rows, "hit_id bigint, path string, line int, text string"), "hit_id", "path", "line", "text").collect()
+    assert sorted((r.key, *r.secrets) for r in got) == [(i, f"AAA{i}") for i in range(1, 2500)]
+
+
 # ---------- wrong encodings
 
 
