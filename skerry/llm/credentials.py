@@ -1,6 +1,6 @@
 """Credentials embedded in source code and configuration: find them, and redact them in place.
 
-A line is parsed into (key path, value) candidates with their offsets: assignments, mappings, calls, XML and table
+Regular expressions take (key name, value) candidates with their offsets from a line, without the keys that enclose it: assignments, mappings, calls, XML and table
 cells, command options, connection URLs, headers and known prose forms. A candidate is a credential if its key name is
 sensitive and its value has the shape of a literal, or if the value alone has the shape of an issued token. Redaction
 splices a mask over exactly those bytes and keeps everything else. Private keys that span several lines of a file are
