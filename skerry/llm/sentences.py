@@ -42,7 +42,7 @@ _BULLET = re.compile(r"[ \t]*(?:[-*+•‣◦▪–][ \t]+(?:\[[ xX]\][ \t]+)?)"
 _NUMBER = re.compile(r"[ \t]*(?:\(?\d{1,3}[.)]|\(?[a-zA-Z]\)|[०-९]{1,3}[.)]|[0-9]{1,3}、)[ \t]+")
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\n|\r|$)")
 _SPACE = " \t\r\n\x0b\x0c\x85\xa0                　"
-_PAIRS = re.compile(r"(?<![\w.])\"(?=[^\s\"])[^\"]{0,600}?\"|“[^“”]{0,600}[“”]|„[^„“”]{0,600}[“”]|«[^«»]{0,600}»|「[^「」]{0,600}」|『[^『』]{0,600}』|‘[^‘’\n]{0,300}?[.!?。！？]’|\((?:[^()]|\([^()]*\)){0,600}\)|（[^（）]{0,600}）|【[^【】]{0,300}】|\[[^\[\]]{0,300}\]")
+_PAIRS = re.compile(r"(?<![\w.])\"(?=[^\s\"])[^\"]*?\"|“[^“”]*+[“”]|„[^„“”]*+[“”]|«[^«»]*+»|「[^「」]*+」|『[^『』]*+』|‘[^‘’\n]*?[.!?。！？]’|\((?:[^()]++|\([^()]*+\))*+\)|（[^（）]*+）|【[^【】]*+】|\[[^\[\]]*+\]")
 _QUOTES = re.compile("[\"“„«「『‘(（【\\[]")
 _CLOSERS = "\"”’»)）」』】]“*_"
 _END = re.compile(r"[.!?…。！？｡।॥؟۔]+|(?<=[฀-๿])[ \t\xa0 \r\n]+(?=[฀-๿])|(?<=[฀-๿])[ \t\xa0 \r\n]+(?=[A-Z][a-z]+ [a-z])")
@@ -54,7 +54,7 @@ _GLUED = re.compile(r"[^\W\d_a-zà-ÿа-яё][^\W\d_A-ZÀ-ÞА-ЯЁ]|[A-ZÀ-Þ][
 _NEXT_WORD = re.compile(r"[^\W\d_]+")
 
 
-_PERIOD_WORD = re.compile(r"(?:(?<=[\s(\[\"„«“.])|^)([^\W\d_]{1,12})\.(?:[)\"”»]?(?=\s+([a-zà-ÿ]+[A-Z]|\w))|,)")
+_PERIOD_WORD = re.compile(r"(?:(?<=[\s(\[\"„«“.])|^)([^\W\d_]+)\.(?:[)\"”»]?(?=\s+([a-zà-ÿ]+[A-Z]|\w))|,)")
 _LOWER_WORD = re.compile(r"(?<![^\W_])[^\W\d_A-ZÀ-ÞА-ЯЁ]+(?![^\W_])")
 
 
@@ -70,7 +70,7 @@ class Evidence:
     def abbreviation(self, word: str) -> bool:
         known = self.known.get(word)
         if known is None:
-            known = self.known[word] = len(word) <= 6 and word.lower() != word.upper() and self._abbreviation(word)
+            known = self.known[word] = word.lower() != word.upper() and self._abbreviation(word)
         return known
 
     def _abbreviation(self, word: str) -> bool:

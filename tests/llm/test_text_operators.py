@@ -320,6 +320,14 @@ def test_units(text, want):
     assert units(text) == want
 
 
+def test_quotes_and_abbreviations_of_any_length():
+    for a, b in ("“”", "«»", "「」", "()", "[]", '""'):
+        text = f"It says {a}{'Wait a bit. ' * 90}Done.{b} here. Next."
+        assert units(text) == [text[:-6], "Next."]
+    assert units("A Handelsregisternr. five. A Handelsregisternr. six. Then Handelsregisternr. 9 here") == ["A Handelsregisternr. five.", "A Handelsregisternr. six.", "Then Handelsregisternr. 9 here"]
+    assert len(units("(“«[ a. " * 20_000)) > 0
+
+
 def test_document_evidence_and_positions(spark):
     assert units("Use approx. five. We had approx. six. Then approx. Nine") == ["Use approx. five.", "We had approx. six.", "Then approx. Nine"]
     text = "Ein Satz. 𝔘nd noch einer. " * 3000
