@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skerry.llm import credentials, leakage, lookalike, mojibake, packing, quantiles, sentences
+from skerry.llm import credentials, keypaths, leakage, lookalike, mojibake, packing, quantiles, sentences
 
 
 def frame(spark, rows, schema):
@@ -122,14 +122,14 @@ HINTED = [
     "CREATE USER svc IDENTIFIED BY 'l4nt3rn';", "Пароль: Zx81kQ77", "ПАРОЛЬ = 'Zx81kQ77'", "CONTRASEÑA=Zx81kQ77", "https://svc:a/b:c9@host.test/x", "x github_pat_" + "a1" * 12, "pw2 = 'Zx81kQ77'", "api1Key = 'Zx81kQ77'",
     "curl\u00a0-u\u00a0svc:Zx81kQ77 https://x.test", "api_k_ey = 'Zx81kQ77'", "apik_ey = 'Zx81kQ77'", "sshpass -p Zx81kQ77 ssh h", "docker login -u a --password Zx81kQ77", "pw for db is Zx81kQ77", "login('a', 'Zx81kQ77')", "login: svc / Zx81kQ77",
     *(f"{w} = 'Zx81kQ77'" for w in sorted(credentials.SENSITIVE_WORDS | {w[:-3] + "_" + w[-3:] for w in credentials.SENSITIVE_PAIRS - {"motdepasse"}} | {"my" + t for t in credentials.SENSITIVE_TAILS})), *(f"{w.upper()} = 'Zx81kQ77'" for w in sorted(credentials.SENSITIVE_WORDS)),
-    *("x " + t for t in ("ghs_" + "a1" * 18, "glpat-" + "a1" * 9, "xoxb-" + "a1" * 9, "npm_" + "a1" * 18, "pypi-" + "a1" * 9, "dop_v1_" + "a1" * 20, "hf_" + "a1" * 12, "sk_live_" + "a1" * 9, "AIza" + "a1" * 18, "SG." + "a1" * 9 + "." + "b2" * 12, "brk_" + "a1" * 12, "AKIA" + "A1" * 8, "eyJ" + "a1" * 9 + ".eyJ" + "b2" * 9 + "." + "c3" * 9, "sq0csp-" + "a1" * 12, "shpat_" + "a1" * 16, "AGE-SECRET-KEY-1" + "A1" * 22)),
+    *("x " + t for t in ("ghs_" + "a1" * 18, "glpat-" + "a1" * 9, "xoxb-" + "a1" * 9, "npm_" + "a1" * 18, "pypi-" + "a1" * 9, "dop_v1_" + "a1" * 20, "hf_" + "a1" * 12, "sk_live_" + "a1" * 9, "AIza" + "a1" * 18, "SG." + "a1" * 9 + "." + "b2" * 12, "brk_" + "a1B2" * 6, "AKIA" + "A1" * 8, "eyJ" + "a1" * 9 + ".eyJ" + "b2" * 9 + "." + "c3" * 9, "sq0csp-" + "a1" * 12, "shpat_" + "a1" * 16, "AGE-SECRET-KEY-1" + "A1" * 22)),
 ]
 
 
 def test_every_rule_passes_the_hint(spark):
     rows = list(enumerate([t for t, want in CASES if want] + HINTED))
     want = {i: [t[a:b] for a, b in credentials.find_secrets(t)] for i, t in rows}
-    df = frame(spark, rows, "hit_id bigint, text string").withColumns({"path": F.lit("/f"), "line": F.col("hit_id")})
+    df = frame(spark, rows, "hit_id bigint, text string").withColumns({"path": F.lit("/f"), "line": 2 * F.col("hit_id")})
     got = {r.key: list(r.secrets) for r in credentials.scan_credentials(df, "hit_id", "path", "line", "text").collect()}
     missing = {t for i, t in rows if want[i] and i not in got}
     assert not missing and got == {i: w for i, w in want.items() if w}
@@ -155,6 +155,54 @@ def test_spanning_key_of_any_length(spark):
     assert sorted((r.key, *r.secrets) for r in got) == [(i, f"AAA{i}") for i in range(1, 2500)]
 
 
+NESTED = [
+    ('{"password": {"value": "hunter2xyz"}}', ["hunter2xyz"]),
+    ("password:\n  value: hunter2xyz\n  hint: nothing here", ["hunter2xyz"]),
+    ("password: |\n  hunter2xyz99\nfoo: bar", ["hunter2xyz99"]),
+    ('[credentials]\nprod = "a8Kd93jfQ"\nuser = "svc-prod1"\n[other]\nx = "a8Kd93jfQ"', ["a8Kd93jfQ"]),
+    ("<secret><value>hunter2xyz</value></secret>", ["hunter2xyz"]),
+    ('<property name="password">hunter2xyz</property>', ["hunter2xyz"]),
+    ("<password>\n  hunter2xyz\n</password>\n<other>\n hunter2xyz\n</other>", ["hunter2xyz"]),
+    ('secrets.stripe = "sk9a8d7f6g"', ["sk9a8d7f6g"]),
+    ('{"credentials": {"prod": "x8Jk22kd0", "user": "svc12345"}, "other": "x8Jk22kd0"}', ["x8Jk22kd0"]),
+    ("secrets:\n  - hunter2xyz9\n  - other8Bkk2\nnext: hunter2xyz9", ["hunter2xyz9", "other8Bkk2"]),
+    ('passwords["bob"] = "x1y2z3w4"', ["x1y2z3w4"]),
+    ('conf = \'{"db": {"password": "x1y2z3w4"}}\'', ["x1y2z3w4"]),
+    ('token = "vault:kv/app#pw"', []),
+    ('{"passwords": {"policy": "Min8Chars", "path": "/etc/x9"}}', []),
+    ('password = os.environ.get("DB_PASSWORD")', []),
+    ("postgres://svc:<password>@db.test/x", []),
+    ("| secret | `1z*56g7iI*` |", ["1z*56g7iI*"]),
+    ("Don't set password = 'abc123'", ["abc123"]),
+    ("{" * 500 + '"password": "x1y2z3w4"', ["x1y2z3w4"]),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), NESTED)
+def test_credentials_by_enclosing_keys(text, want):
+    assert [text[a:b] for a, b in credentials.find_secrets(text)] == want
+
+
+def test_key_paths():
+    source = 'a: {b: ["c", {"d": "e"}]}'
+    leaves = {".".join(x.path): source[x.start : x.end] for x in keypaths.read_text(source)}
+    assert leaves["a.b.[]"] == "c" and leaves["a.b.d"] == "e"
+    text = "é: ñandú x"
+    assert keypaths.byte_offsets(text, [0, 3, 8]) == [0, 4, 11]
+    assert keypaths.read_text("") == [] and keypaths.read_text(" \n\r\n") == []
+
+
+def test_scopes_reach_over_lines_and_blocks(spark):
+    rows = [(1, "a", 1, "credentials:"), (2, "a", 2, "  prod: a8Kd93jfQ"), (3, "a", 3, "  user: svc-prod1"), (4, "a", 2, "  prod: a8Kd93jfQ"), (5, "a", 4, "other: a8Kd93jfQ")]
+    rows += [(6, "b", 10, "[passwords]"), (7, "b", 12, "bob = a8Kd93jfQ"), (8, "c", 999, '{"secrets": {'), (9, "c", 1000, '"x": {"y": "a8Kd93jfQ"},'), (10, "c", 1001, '"z": "b8Kd93jfQ"}'), (11, "c", 1002, '"w": "b8Kd93jfQ"}')]
+    rows += [(12, "d", None, "secrets:"), (13, None, 3, "secrets:"), (14, "e", 1, None), (15, "e", 2, "")]
+    rows += [(16, "k", 1, "secrets:"), (17, "k", 2, "  pem: |"), (18, "k", 3, "    -----BEGIN PRIVATE KEY-----"), (19, "k", 4, "    aB3xyzQk9"), (20, "k", 5, "    -----END PRIVATE KEY-----"), (21, "k", 6, "  api: aB3xyzQk9")]
+    rows += [(100 + i, "long", i + 5, "[tokens]" if i == 0 else f'k{i} = "aB3{i}xyzQ"' if i in (5, 1500, 2050) else f"# {i}") for i in range(2100)]
+    df = frame(spark, rows, "hit_id bigint, path string, line int, text string").withColumns({"context": F.lit("c"), "block": F.lit(1)})
+    got = {r.key: list(r.secrets) for r in credentials.scan_credentials(df, "hit_id", "path", "line", "text").collect()}
+    assert got == {2: ["a8Kd93jfQ"], 4: ["a8Kd93jfQ"], 9: ["a8Kd93jfQ"], 10: ["b8Kd93jfQ"], 19: ["aB3xyzQk9"], 21: ["aB3xyzQk9"], 105: ["aB35xyzQ"], 1600: ["aB31500xyzQ"], 2150: ["aB32050xyzQ"]}
+
+
 # ---------- wrong encodings
 
 
