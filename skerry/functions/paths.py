@@ -14,7 +14,7 @@ def ascii_lower(c: Column) -> Column:
 
 def name_of(path: Column) -> Column:
     """Text after the last separator; the whole path if there is none or it is the last character."""
-    name = F.regexp_extract(path, r"[^\\/]+$", 0)
+    name = F.substring_index(F.translate(path, "\\", "/"), "/", -1)
     return F.when(name == "", path).otherwise(name)
 
 
@@ -30,4 +30,5 @@ def dir_of(path: Column) -> Column:
 
 def extension_of(name: Column) -> Column:
     """Lower-cased text after the last dot of a name; empty if the dot is first, last or absent."""
-    return F.lower(F.regexp_extract(name, r"(?s)^.+\.([^.]+)$", 1))
+    ext = F.substring_index(name, ".", -1)
+    return F.when((ext != "") & (F.char_length(ext) < F.char_length(name) - 1), F.lower(ext)).otherwise(F.when(name.isNotNull(), ""))
