@@ -11,7 +11,8 @@ or digits). A prefix-filtered set join finds them:
    (the positional bound).
 3. Every candidate is verified by exact comparison of the window-sized slice.
 
-Items are taken in blocks of ``BLOCK_ITEMS``, which bounds the vocabulary and windows that are broadcast for any item table.
+Items are taken in blocks of ``BLOCK_CHARS`` characters. A window begins at a word, so a block has at most half as many windows,
+which bounds the vocabulary and the windows that are broadcast for any item table.
 
 Defined results: NULL texts and ids on either side give no row, an item shorter than its window is never found, repeated
 documents are reported each, repeated item ids once; texts are processed whole; empty tables give an empty result; extra
@@ -30,16 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.arrow import text_stage
-from skerry.runtime import cut, table
+from skerry.runtime import broadcast_if_small, cut, table
 
 WORDS = 8
 LETTERS = 16
 GRAM = 4
 DENSE_LANGS = ("zh", "ja")
-BLOCK_ITEMS = 20_000
+#: Characters of the items whose windows are broadcast together; a longer item is a block of its own.
+BLOCK_CHARS = 1 << 20
+#: Size of a window in memory: its tokens and a row around them.
+WINDOW_BYTES = 120
 _WORD = re.compile(r"[^\W_]+")
 _DENSE = re.compile("[぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
-_TAG = re.compile(r"</?(?:a|b|i|u|s|p|em|strong|span|br|div|mark|code|pre|sub|sup|li|ul|ol|h[1-6]|td|th|tr|table|font|small|big|blockquote)(?:\s[^<>]{0,300})?/?>", re.I)
+_TAG = re.compile(r"</?(?:a|b|i|u|s|p|em|strong|span|br|div|mark|code|pre|sub|sup|li|ul|ol|h[1-6]|td|th|tr|table|font|small|big|blockquote)(?:\s[^<>]*+)?/?>", re.I)
 RECORD = "kind string, doc_id bigint, token int, n bigint, run array<int>"
 
 
@@ -102,7 +106,7 @@ def _automaton(patterns: set[str]):
     try:
         import ahocorasick
     except ImportError:
-        return lambda text: any(p in text for p in patterns)
+        return lambda text: any(text[i : i + LETTERS] in patterns for i in range(len(text) - LETTERS + 1))
     machine = ahocorasick.Automaton()
     for p in patterns:
         machine.add_word(p, True)
@@ -113,12 +117,13 @@ def _automaton(patterns: set[str]):
 def _blocks(items: DataFrame) -> list[list[tuple[int, str | None, str]]]:
     """The item table in blocks; the set of test items is a stated query set, read once by the driver."""
     rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("bigint").alias("item_id"), "lang", "text")
-    out, block = [], []
+    out, block, size = [], [], 0
     for r in rows.toLocalIterator():
         block.append((r.item_id, r.lang, r.text))
-        if len(block) >= BLOCK_ITEMS:
+        size += len(r.text)
+        if size >= BLOCK_CHARS:
             out.append(block)
-            block = []
+            block, size = [], 0
     return [*out, block] if block else out
 
 
@@ -160,7 +165,7 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, str | None, str]]) -> D
     windows = spark.createDataFrame(prefixed, "token int, offset int, tokens array<int>, item_id bigint")
     tokens = records.where("kind = 'run'").select("doc_id", "run", F.posexplode("run").alias("pos", "token"))
     start = F.col("pos") - F.col("offset")
-    near = tokens.join(F.broadcast(windows), "token").where((start >= 0) & (start + F.size("tokens") <= F.size("run")))
+    near = tokens.join(broadcast_if_small(windows, WINDOW_BYTES), "token").where((start >= 0) & (start + F.size("tokens") <= F.size("run")))
     return near.where(F.slice("run", start + 1, F.size("tokens")) == F.col("tokens")).select("doc_id", "item_id")
 
 

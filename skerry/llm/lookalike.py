@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.arrow import text_stage
-from skerry.runtime import table
+from skerry.runtime import cut, table
 
 #: Letters with the shape of an ASCII letter, each followed by that letter (fixed values).
 LOOK_ALIKE = {
@@ -95,21 +95,48 @@ def with_skeleton(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.where(F.coalesce(plain, F.lit(True))).select(F.col("key").cast("bigint").alias("key"), "text", F.col("text").alias("skeleton")).unionByName(odd)
 
 
+def look_alike_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text, skeleton) of the rows whose skeleton has more than one spelling.
+
+    An ASCII text is its own skeleton, so a class of several spellings has one that is not ASCII. Those are turned into
+    skeletons once; ASCII rows only join the skeletons found there.
+    """
+    rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
+    plain = F.octet_length("text") == F.char_length("text")
+    odd = cut(with_skeleton(rows.where(~plain), "key", "text"))
+    forms = odd.groupBy("skeleton").agg(F.min("text").alias("lo"), F.max("text").alias("hi"))
+    same = rows.where(plain).select("key", "text", F.col("text").alias("skeleton")).join(forms.select("skeleton"), "skeleton", "left_semi")
+    members = odd.unionByName(same.select("key", "text", "skeleton"))
+    shared = forms.unionByName(same.select("skeleton", F.col("skeleton").alias("lo"), F.col("skeleton").alias("hi")))
+    shared = shared.groupBy("skeleton").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("skeleton")
+    return members.join(shared, "skeleton", "left_semi").select("key", "text", "skeleton")
+
+
 def look_alike_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     """(a, b), a < b: keys of rows whose texts differ but have the same skeleton.
 
-    Classes of one spelling are dropped first. The remaining spellings are paired once each, not row by row, and
-    rows join their spelling, so copies of a text cost one join and no comparison.
+    Spellings are paired once each, not row by row, and rows join their spelling, so copies of a text cost one join and no
+    comparison.
     """
-    rows = with_skeleton(df, key, text).where("text is not null and key is not null")
-    shared = rows.groupBy("skeleton").agg(F.min("text").alias("lo"), F.max("text").alias("hi")).where("lo <> hi").select("skeleton")
-    kept = rows.join(shared, "skeleton", "left_semi")
+    kept = cut(look_alike_rows(df, key, text))
     spelling = kept.select("skeleton", "text").distinct()
     pairs = spelling.alias("x").join(spelling.alias("y"), "skeleton").where("x.text <> y.text").select(F.col("x.text").alias("text"), F.col("y.text").alias("other"))
     left = kept.select(F.col("key").alias("a"), "text").join(pairs, "text").select("a", F.col("other").alias("text"))
     return left.join(kept.select(F.col("key").alias("b"), "text"), "text").where("a < b").select("a", "b")
 
 
+def look_alike_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, class_key, links): for each row of a class its least key and the number of rows that look the same but differ.
+
+    As large as the rows themselves, whatever the size of a class.
+    """
+    kept = cut(look_alike_rows(df, key, text))
+    spelling = kept.groupBy("skeleton", "text").agg(F.count("*").alias("n"), F.min("key").alias("k"))
+    classes = spelling.groupBy("skeleton").agg(F.sum("n").alias("rows"), F.min("k").alias("class_key"))
+    links = spelling.join(classes, "skeleton").select("text", "class_key", (F.col("rows") - F.col("n")).alias("links"))
+    return kept.select("key", "text").join(links, "text").select("key", "class_key", "links")
+
+
 def p5_found(spark, sf_dir):
     return look_alike_pairs(table(spark, sf_dir, "raw_entries"), "raw_id", "path").select(F.col("a").alias("raw_id"), F.col("b").alias("raw_id2"))
 
@@ -118,5 +145,17 @@ def p5_skeletons(spark, sf_dir):
     return with_skeleton(table(spark, sf_dir, "raw_entries"), "raw_id", "path").select(F.col("key").alias("raw_id"), F.col("text").alias("path"), "skeleton")
 
 
-QUERIES = {"p5_found": p5_found, "p5_skeletons": p5_skeletons}
-ORACLE: dict[str, str] = {}
+def p5_classes(spark, sf_dir):
+    return look_alike_classes(table(spark, sf_dir, "raw_entries"), "raw_id", "path").select(F.col("key").alias("raw_id"), F.col("class_key").alias("class_id"), "links")
+
+
+def p5_stable(spark, sf_dir):
+    """Every path, and whether its skeleton is its own skeleton (ASCII: the path itself)."""
+    once = p5_skeletons(spark, sf_dir)
+    twice = with_skeleton(once, "raw_id", "skeleton").select(F.col("key").alias("raw_id"), F.col("text").alias("skeleton"), F.col("skeleton").alias("again"))
+    plain = F.octet_length("path") == F.char_length("path")
+    return once.drop("skeleton").join(twice, "raw_id").select("raw_id", "path", (F.col("skeleton").eqNullSafe(F.col("again")) & (~F.coalesce(plain, F.lit(False)) | F.col("skeleton").eqNullSafe(F.col("path")))).alias("stable"))
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_skeletons, p5_classes, p5_stable)}
+ORACLE = {"p5_stable": "select raw_id, path, true as stable from raw_entries"}

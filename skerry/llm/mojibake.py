@@ -9,7 +9,9 @@
    is accepted if the pairs of the restored text are sufficiently more frequent in the corpus than those that stand there.
    By the model of distinct texts all other runs are tried too, since many damaged texts make their pairs probable.
 
-A replacement character or a C1 control marks a record whose original is lost at that place.
+A replacement character or a C1 control is as improbable as a pair can be, so it always lies in a segment; where no mapping
+takes it away, the original is lost at that place. A segment is widened to the whole run of non-ASCII characters it touches,
+because a mapping is not defined on a part of a multi-byte character.
 
 Defined results: NULL, empty and pure ASCII texts are never affected; repeated rows are reported each; texts are processed
 whole; extra columns are ignored; an empty table gives an empty result.
@@ -44,6 +46,8 @@ GAIN_UTF8, GAIN_OTHER, GAIN_SINGLE = 0.7, 2.2, 3.0
 SCATTERED = 3
 #: Least gain for a run outside the improbable segments, and its least length.
 GAIN_FREQUENT, FREQUENT = 3.0, 2
+#: Minus the information of a pair with a lost character, which no text holds rightly.
+LOST_BITS = 20.0
 #: Share of a run's bytes that must form valid UTF-8 where the run was cut or lost characters.
 VALID = 0.6
 
@@ -121,6 +125,12 @@ def pair_slot(a: str, b: str) -> int:
     return ((ord(a) * 0x9E3779B1) ^ (ord(b) * 0x85EBCA77)) % 0xFFFFFFFB & ((1 << PAIR_BITS) - 1)
 
 
+def margin(ch: str) -> int:
+    """The slot of a character in the margins: its code point; those beyond the basic plane share the private use area."""
+    code = ord(ch)
+    return code if code < 1 << CHAR_BITS else 0xE000 + code * 0x9E3779B1 % 6400
+
+
 def pairs_of(text: str) -> list[tuple[str, str]]:
     """Adjacent pairs with a non-ASCII member; the text is framed by spaces, digits count alike."""
     framed = " " + re.sub(r"\d", "0", text) + " "
@@ -139,7 +149,7 @@ def _count(batch: pa.RecordBatch) -> list[list]:
     rows: Counter = Counter()
     once: Counter = Counter()
     for (a, b), (n, d) in pairs.items():
-        for slot in (pair_slot(a, b), -1 - (ord(a) & ((1 << CHAR_BITS) - 1)), -1 - (1 << CHAR_BITS) - (ord(b) & ((1 << CHAR_BITS) - 1))):
+        for slot in (pair_slot(a, b), -1 - margin(a), -1 - (1 << CHAR_BITS) - margin(b)):
             rows[slot] += n
             once[slot] += d
     return [list(rows), list(rows.values()), [once[s] for s in rows]]
@@ -166,9 +176,11 @@ class PairModel:
     def information(self, a: str, b: str) -> float:
         """Mutual information of a pair, smoothed so that unsupported pairs fall below zero."""
         got = self.memo.get((a, b))
+        if got is None and (LOST.match(a) or LOST.match(b)):
+            got = self.memo[a, b] = -LOST_BITS
         if got is None:
             n = int(self.pair[pair_slot(a, b)])
-            expected = int(self.left[ord(a) & 0xFFFF]) * int(self.right[ord(b) & 0xFFFF]) / self.total
+            expected = int(self.left[margin(a)]) * int(self.right[margin(b)]) / self.total
             got = self.memo[a, b] = math.log((n + 0.01 * self.floor) / (expected + self.floor))
         return got
 
@@ -329,9 +341,9 @@ def repair(text: str, model: PairModel, memo: dict | None = None, frequent: bool
         used.append(f"{hit[2]}>{hit[1]}")
         at = b
     fixed = "".join([*out, text[at:]])
-    lost = bool(LOST.search(fixed))
-    if used or LOST.search(text):
-        return fixed, sorted(set(used)), not lost
+    lost = any(LOST.search(text, x, y) for x, y in spans)
+    if used or lost:
+        return fixed, sorted(set(used)), not LOST.search(fixed)
     return None
 
 

@@ -152,6 +152,17 @@ def blocks_of(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
+def last_token(block: str, begin: int, end: int) -> re.Match | None:
+    """The run without blanks and opening signs that stands before ``end``; the part searched grows until it holds the run."""
+    reach = 60
+    while True:
+        low = max(begin, end - reach)
+        found = _BEFORE.search(block, low, end)
+        if low == begin or not found or found.start() > low:
+            return found
+        reach *= 8
+
+
 def sentences_of(block: str, evidence: Evidence) -> list[tuple[int, int]]:
     """Spans of the sentences of one block."""
     spans = [m.span() for m in _PAIRS.finditer(block)] if _QUOTES.search(block) else []
@@ -225,12 +236,12 @@ def sentences_of(block: str, evidence: Evidence) -> list[tuple[int, int]]:
             continue
         if c in ",;:)":
             continue
-        before = _BEFORE.search(block, max(begin, p - 60), p)
+        before = last_token(block, begin, p)
         token = _ABBREVIATED.match(before[0]) if before else None
         word = token[1] if token else ""
         if c.isupper():
             follow = _NEXT_WORD.match(block, nxt)[0]
-            if word in TITLES or 0 < len(word) < 3 and len(follow) == 1 and block[nxt + 1 : nxt + 2] == ".":
+            if word in TITLES and not evidence.opens_sentence(follow) or 0 < len(word) < 3 and len(follow) == 1 and block[nxt + 1 : nxt + 2] == ".":
                 continue
             if word and len(word) == 1 and word.isupper() and len(token[0]) == 1 and not evidence.opens_sentence(follow):
                 continue
@@ -288,22 +299,27 @@ def period_counts(docs: DataFrame) -> dict[str, tuple[int, int]]:
     return {r.word: (r.low, r.n) for r in kept.toLocalIterator()}
 
 
-def sentence_units(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, start_pos, end_pos): one row per sentence unit; positions count characters, the end is exclusive."""
+def sentence_units(docs: DataFrame, key: str, text: str, with_text: bool = False) -> DataFrame:
+    """(key, start_pos, end_pos): one row per sentence unit; positions count characters, the end is exclusive.
+
+    ``with_text`` adds the unit itself, cut out in the same pass.
+    """
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
     corpus = rows.sparkSession.sparkContext.broadcast(period_counts(rows))
 
     def work(batch: pa.RecordBatch) -> list[list]:
-        keys, starts, ends = [], [], []
+        keys, starts, ends, units = [], [], [], []
         for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            units = units_of(t, corpus.value)
-            keys += [k] * len(units)
-            starts += [a for a, _ in units]
-            ends += [b for _, b in units]
-        return [keys, starts, ends]
+            found = units_of(t, corpus.value)
+            keys += [k] * len(found)
+            starts += [a for a, _ in found]
+            ends += [b for _, b in found]
+            if with_text:
+                units += [t[a:b] for a, b in found]
+        return [keys, starts, ends, *([units] if with_text else [])]
 
-    stage = text_stage([("key", pa.int64()), ("start_pos", pa.int32()), ("end_pos", pa.int32())], work)
-    return rows.mapInArrow(stage, "key bigint, start_pos int, end_pos int")
+    fields = [("key", pa.int64()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), *([("unit", pa.string())] if with_text else [])]
+    return rows.mapInArrow(text_stage(fields, work), "key bigint, start_pos int, end_pos int" + (", unit string" if with_text else ""))
 
 
 def p8_found(spark, sf_dir):
@@ -311,11 +327,21 @@ def p8_found(spark, sf_dir):
 
 
 def p8_texts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    units = p8_found(spark, sf_dir)
-    cut_out = units.join(docs.select("doc_id", "text"), "doc_id")
-    return cut_out.select("doc_id", "start_pos", "end_pos", F.expr("substring(text, start_pos + 1, end_pos - start_pos)").alias("unit"))
+    return sentence_units(table(spark, sf_dir, "documents"), "doc_id", "text", with_text=True).withColumnRenamed("key", "doc_id")
+
+
+def p8_cover(spark, sf_dir):
+    """(doc_id, length, ordered): the length of each text, and whether its units are ordered, apart and within it, and their texts stand there.
+
+    A text is rebuilt from its units laid over its own characters, so a wrong position or unit shows.
+    """
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "text", F.char_length("text").alias("length"))
+    units = p8_texts(spark, sf_dir).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start_pos", "end_pos", "unit"))).alias("u"))
+    apart = F.aggregate("u", F.struct(F.lit(0).alias("at"), F.lit(True).alias("ok")), lambda s, x: F.struct(x["end_pos"].alias("at"), (s["ok"] & (x["start_pos"] >= s["at"]) & (x["end_pos"] > x["start_pos"])).alias("ok")))
+    there = F.forall("u", lambda x: F.substring(F.col("text"), x["start_pos"] + 1, x["end_pos"] - x["start_pos"]) == x["unit"])
+    ends = F.coalesce(F.element_at("u", -1)["end_pos"] <= F.col("length"), F.lit(True))
+    return docs.join(units, "doc_id", "left").select("doc_id", "length", (F.col("u").isNull() | (apart["ok"] & there & ends)).alias("ordered"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_texts": p8_texts}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p8_found, p8_texts, p8_cover)}
+ORACLE = {"p8_cover": "select doc_id, cast(length(text) as int) as length, true as ordered from documents where doc_id is not null"}

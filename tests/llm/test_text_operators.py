@@ -244,6 +244,10 @@ def test_wrong_encodings(spark):
     assert mojibake.wrongly_decoded(df.where("rec_id < 0")).count() == 0
 
 
+def test_characters_beyond_the_basic_plane_have_margins_of_their_own():
+    assert mojibake.margin("😀") != ord("😀") & 0xFFFF and 0xE000 <= mojibake.margin("😀") < 0xF900 and mojibake.margin("ж") == ord("ж")
+
+
 @pytest.mark.parametrize(("right", "wrong"), [("cp1251", "cp1252"), ("gb18030", "cp1252"), ("koi8-r", "cp1251")])
 def test_copies_of_a_damaged_text_do_not_vote_for_it(spark, right, wrong):
     nouns = ["копии", "файлы", "пути", "записи", "каталоги"] if right != "gb18030" else ["副本", "文件", "路径", "记录", "目录"]
@@ -276,6 +280,9 @@ def test_skeleton_pairs(spark):
     assert {(1, 2), (1, 3), (1, 4), (1, 5), (2, 8), (9, 10), (12, 13), (14, 15)} <= got
     assert not {6, 7, 11, 16, 17, 18, 19, 20} & {x for p in got for x in p} and (1, 8) not in got
     assert lookalike.look_alike_pairs(df.where("raw_id < 0"), "raw_id", "path").count() == 0
+    links = {i: sum(i in p for p in want) for i in {x for p in want for x in p}}
+    classes = {r.key: (r.class_key, r.links) for r in lookalike.look_alike_classes(df, "raw_id", "path").collect()}
+    assert {k: v[1] for k, v in classes.items()} == links and classes[8][0] == 1 == classes[1][0]
 
 
 # ---------- containers
@@ -287,12 +294,39 @@ def test_best_fit_keeps_every_capacity():
     for documents, attention in ((100, 1e9), (3, 1e9), (100, 6000.0)):
         where = packing.best_fit(tokens, 100, documents, attention)
         for c in range(where.max() + 1):
-            mine = tokens[where == c]
-            assert mine.sum() <= 100 and len(mine) <= documents and ((mine.astype(float) ** 2).sum() <= attention or len(mine) == 1)
+            mine = tokens[where == c].astype(float)
+            most = max(attention, mine.max() ** 2 + attention * (100 - mine.max()) / 100 if mine.max() ** 2 > attention else 0)
+            assert mine.sum() <= 100 and len(mine) <= documents and (mine**2).sum() <= most + 1e-6
     least = -(-tokens.sum() // 100)
     assert packing.best_fit(tokens, 100, 100, 1e9).max() + 1 <= least * 1.02 + 1
 
 
+def fewest(tokens, capacity, documents, attention):
+    """The least number of containers, by trying every assignment."""
+    best = [len(tokens)]
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(tokens):
+            best[0] = len(bins)
+            return
+        for b in [*bins, []]:
+            if sum(b) + tokens[i] <= capacity and len(b) < documents and (not b or sum(x * x for x in b) + tokens[i] ** 2 <= attention):
+                place(i + 1, [*(x for x in bins if x is not b), [*b, tokens[i]]])
+
+    place(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_best_fit_against_brute_force(seed):
+    rng = random.Random(seed)
+    tokens = sorted((rng.randint(2, 60) for _ in range(9)), reverse=True)
+    for documents, attention in ((9, 1e9), (3, 1e9), (9, 4000.0)):
+        assert packing.best_fit(np.array(tokens), 100, documents, attention).max() + 1 <= fewest(tokens, 100, documents, attention) + 1
+
+
 def test_packing(spark):
     text = "one two three four five six seven eight nine ten "
     rows = [(i, text * (i % 7)) for i in range(60)] + [(100, None), (101, ""), (None, text), (102, text * 400), (3, text)]
@@ -311,6 +345,9 @@ def test_packing(spark):
     assert packing.pack(sizes.where("n < 0"), [("s", 64)]).count() == 0 and packing.pack(sizes, []).count() == 0
     kinds = frame(spark, [("s", 64), ("s", 64), (None, 5), ("z", 0)], "kind string, capacity int")
     assert packing.container_kinds(kinds) == [("s", 64)]
+    assert packing.container_kinds(kinds.unionByName(frame(spark, [("s", 9)], "kind string, capacity int"))) == [("s", 9), ("s", 64)]
+    report = {r.kind: r for r in packing.limit_report(packing.pack(sizes, [("s", 64), ("l", 1000)])).collect()}
+    assert report["s"].over == 0 == report["l"].over and report["l"].most_documents + report["l"].most_attention > 0
 
 
 # ---------- leaks
