@@ -406,11 +406,12 @@ def _(spark, sf_dir):
 
 @query(
     "u4_debounce",
-    """with e as (select path, epoch_us(arrival_ts) // 1000 as ms, epoch_us(arrival_ts) // 86400000000 as day from path_changes where path is not null and arrival_ts is not null),
-g as (select *, ms - lag(ms) over (partition by day order by ms) as gap from e),
-r as (select *, sum(case when gap is null or gap > 300 then 1 else 0 end) over (partition by day order by ms range unbounded preceding) as run from g),
-p as (select *, (ms - min(ms) over (partition by day, run)) // 2000 as part from r)
-select day, cast(run as bigint) as run, part, path, count(*) as n, min(ms) as first_ms from p group by day, run, part, path""",
+    """with recursive e as (select path, epoch_us(arrival_ts) // 1000 as ms from path_changes where path is not null and arrival_ts is not null),
+t as (select distinct ms from e), g as (select ms, ms - lag(ms) over (order by ms) as gap from t),
+r as (select ms, sum(case when gap is null or gap > 300 then 1 else 0 end) over (order by ms) as run from g),
+b as (select run, min(ms) as start from r group by run union all select r.run, min(r.ms) from b join r on r.run = b.run and r.ms > b.start + 2000 group by r.run)
+select start as batch_ms, path, count(*) as n from (select e.path, max(b.start) as start, e.ms, count(*) over () from e join r using (ms) join b on b.run = r.run and b.start <= e.ms group by e.path, e.ms, r.run) s
+join e using (path, ms) group by all""",
 )
 def _(spark, sf_dir):
     return changes.debounce_batches(table(spark, sf_dir, "path_changes"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the shared folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """Point checkpoints at the shared folder of ``spark.checkpoint.dir``; where that is unset, at one in the session's warehouse.
+
+    The warehouse is the file system that the session shares with its executors, so no machine keeps a part to itself.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="skerry-ckpt-"))
+        sc.setCheckpointDir(where or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints/{uuid.uuid4().hex}")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,6 +57,7 @@ def local_session(cores: str | None = None, app: str = "skerry") -> SparkSession
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", os.environ.get("SKERRY_DRIVER_MEMORY", "12g"))
+        .config("spark.sql.warehouse.dir", os.environ.get("SKERRY_WAREHOUSE", "/tmp/skerry-warehouse"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

@@ -7,6 +7,7 @@ import os
 import time
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,10 @@ from skerry.functions.paths import ascii_lower, base_offset, dir_of, extension_o
 SCAN_SCHEMA = "path string, size bigint, mod bigint, is_dir boolean"
 FORMAT_VERSION = 1
 LONGEST_PATH = 65_535
+#: Change batches beside a base, and the bytes or part of its bytes that they may reach, before a new base is written.
+MOST_DELTAS, DELTA_BYTES, DELTA_PART = 16, 32 << 20, 4
+#: Folders that a scan is divided into before its tasks start.
+SCAN_FOLDERS = 256
 # Folder and file names that a scan leaves out (fixed values).
 DEFAULT_EXCLUDES = ("$Recycle.Bin", "System Volume Information", "$WinREAgent", "Config.Msi", ".git", "node_modules", "__pycache__", ".cache", "proc", "sys")
 
@@ -63,18 +68,23 @@ class _Folder(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    """One task per folder below a root; a folder that may not be read yields what could be read."""
+    """Divides the roots into folders, level by level, until there are enough for the tasks; a folder that may not be read
+    yields what could be read."""
 
     def __init__(self, options: dict) -> None:
         self.roots = json.loads(options["roots"])
         self.excludes = {x.lower() for x in json.loads(options.get("excludes", "[]"))}
+        self.folders = int(options.get("folders", SCAN_FOLDERS))
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for root in self.roots:
-            out.append(_Folder(root, False))
-            out += [_Folder(e.path, True) for e in self._list(root) if e.is_dir(follow_symlinks=False)]
-        return out
+        shallow: list[InputPartition] = []
+        frontier = list(self.roots)
+        # Widest first: a listing of the driver is one folder, and it lists at most as many as there will be tasks.
+        while frontier and len(shallow) + len(frontier) < self.folders:
+            folder = frontier.pop(0)
+            shallow.append(_Folder(folder, False))
+            frontier += [e.path for e in self._list(folder) if e.is_dir(follow_symlinks=False)]
+        return [*shallow, *(_Folder(f, True) for f in frontier)]
 
     def _list(self, path: str) -> list[os.DirEntry]:
         try:
@@ -93,9 +103,12 @@ class _Reader(DataSourceReader):
             return entry.path, 0, 0, folder
 
     def read(self, partition: _Folder) -> Iterator[tuple]:
+        if partition.path in self.roots:  # any other folder has a row in the folder above it
+            try:
+                yield partition.path, 0, int(os.stat(partition.path).st_mtime), True
+            except OSError:
+                return
         if not partition.deep:
-            st = os.stat(partition.path)
-            yield partition.path, 0, int(st.st_mtime), True
             for e in self._list(partition.path):
                 yield self._row(e)
             return
@@ -146,8 +159,10 @@ def catalog_path(configured: str | None = None) -> str:
 class CatalogStore:
     """Immutable versions of a catalog in one folder, and a pointer that is replaced in one step.
 
-    A version is sorted by path and written with delta-encoded strings, so shared prefixes cost nothing and a folder
-    filter reads few row groups. Readers keep the version they opened; old versions stay until ``vacuum``.
+    A version is a base, sorted by path and written with delta-encoded strings, so shared prefixes cost nothing and a folder
+    filter reads few row groups, and the change batches applied since. A batch is as large as what it changes; readers merge
+    the batches, and after ``MOST_DELTAS`` of them, or when they grow too large, ``publish`` writes a new base. Readers keep the
+    version they opened; old parts stay until ``vacuum``.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -175,19 +190,45 @@ class CatalogStore:
         return meta
 
     def save(self, catalog: DataFrame, roots: list[str] = (), excludes: list[str] = (), created: int | None = None) -> int:
-        """Write the next version, then point to it."""
-        fs, path = self._fs()
-        try:
-            version = self._pointer()["version"] + 1
-        except CorruptCatalog:
-            version = 1
+        """Write the next version as a base, then point to it."""
+        version = self._next()
         data = f"{self.folder}/v{version:08d}-{uuid.uuid4().hex[:8]}"
         rows = catalog.select("path", "size", "mod", "is_dir")
         (rows.repartitionByRange(F.col("path")).sortWithinPartitions("path").write.option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").mode("errorifexists").parquet(data))
-        meta = {"format": FORMAT_VERSION, "version": version, "data": data, "created": int(time.time()) if created is None else created, "roots": list(roots), "excludes": list(excludes)}
+        self._point({"version": version, "data": data, "deltas": [], "created": int(time.time()) if created is None else created, "roots": list(roots), "excludes": list(excludes)})
+        return version
+
+    def publish(self, ops: DataFrame, created: int | None = None) -> int:
+        """Write a change batch (op, path, size, mod, is_dir) beside the base and point to both; the base is not touched."""
+        meta = self._pointer()
+        data = f"{self.folder}/d{self._next():08d}-{uuid.uuid4().hex[:8]}"
+        ops.select("op", "path", "size", "mod", "is_dir").coalesce(1).write.mode("errorifexists").parquet(data)
+        version = self._next()
+        self._point({**meta, "version": version, "deltas": [*meta.get("deltas", []), data], "created": int(time.time()) if created is None else created})
+        if len(meta.get("deltas", [])) + 1 > MOST_DELTAS or self._bytes(self._pointer()["deltas"]) > max(DELTA_BYTES, self._bytes([meta["data"]]) // DELTA_PART):
+            return self.compact()
+        return version
+
+    def _bytes(self, folders: list[str]) -> int:
+        fs, path = self._fs()
+        return sum(fs.getContentSummary(path(f)).getLength() for f in folders)
+
+    def size_bytes(self) -> int:
+        """Bytes of the current version on disk."""
+        meta = self._pointer()
+        return self._bytes([meta["data"], *meta.get("deltas", [])])
+
+    def _next(self) -> int:
+        try:
+            return self._pointer()["version"] + 1
+        except CorruptCatalog:
+            return 1
+
+    def _point(self, meta: dict) -> None:
+        fs, path = self._fs()
         new = path(f"{self.folder}/CURRENT.{uuid.uuid4().hex}")
         out = fs.create(new, True)
-        out.write(bytearray(json.dumps(meta).encode()))
+        out.write(bytearray(json.dumps({"format": FORMAT_VERSION, **meta}).encode()))
         out.close()
         at = path(f"{self.folder}/CURRENT")
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark._jsc.hadoopConfiguration())
@@ -195,7 +236,6 @@ class CatalogStore:
         options = self.spark._sc._gateway.new_array(rename, 1)
         options[0] = rename.OVERWRITE
         context.rename(new, at, options)
-        return version
 
     def metadata(self) -> dict:
         return self._pointer()
@@ -204,24 +244,34 @@ class CatalogStore:
         """The current version with its derived columns."""
         meta = self._pointer()
         fs, path = self._fs()
-        if not fs.exists(path(meta["data"] + "/_SUCCESS")):
-            raise CorruptCatalog(f"{meta['data']}: incomplete")
-        return derive(self.spark.read.schema(SCAN_SCHEMA).parquet(meta["data"]))
+        for part in (meta["data"], *meta.get("deltas", [])):
+            if not fs.exists(path(part + "/_SUCCESS")):
+                raise CorruptCatalog(f"{part}: incomplete")
+        base = self.spark.read.schema(SCAN_SCHEMA).parquet(meta["data"])
+        if not meta.get("deltas"):
+            return derive(base)
+        from skerry.operators.changes import OPS, apply_ops
+
+        batches = [self.spark.read.schema(OPS).parquet(d).withColumn("seq", F.lit(i)) for i, d in enumerate(meta["deltas"], 1)]
+        return derive(apply_ops(base, reduce(DataFrame.unionByName, batches)))
 
     def age(self, now: int | None = None) -> int:
         return (int(time.time()) if now is None else now) - self._pointer()["created"]
 
     def compact(self) -> int:
-        """Rewrite the current version in fewer, sorted files."""
+        """Rewrite the current version as one sorted base."""
         meta = self._pointer()
         return self.save(self.load(), meta["roots"], meta["excludes"], meta["created"])
 
     def vacuum(self, keep: int = 2) -> int:
-        """Delete all but the newest ``keep`` versions; returns how many went."""
+        """Delete all bases and batches but those in use and the newest ``keep`` bases; returns how many went."""
         fs, path = self._fs()
-        current = os.path.basename(self._pointer()["data"])
-        found = sorted(s.getPath().getName() for s in fs.listStatus(path(self.folder)) if s.getPath().getName().startswith("v"))
-        old = [v for v in found[: max(0, len(found) - keep)] if v != current]
+        meta = self._pointer()
+        used = {os.path.basename(x) for x in (meta["data"], *meta.get("deltas", []))}
+        found = sorted(name for s in fs.listStatus(path(self.folder)) if (name := s.getPath().getName())[:1] in "vd")
+        bases = [v for v in found if v.startswith("v")]
+        kept = {*used, *bases[len(bases) - min(keep, len(bases)) :]}
+        old = [v for v in found if v not in kept]
         for v in old:
             fs.delete(path(f"{self.folder}/{v}"), True)
         return len(old)

@@ -9,12 +9,13 @@ import time
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from skerry.sources.catalog import DEFAULT_EXCLUDES
 
-WATCH_SCHEMA = "path string, arrival_ts timestamp"
-#: Notices of one listing; a larger difference is left to the next listings, so nothing is lost.
+WATCH_SCHEMA = "path string, arrival_ts timestamp, overflow boolean"
+#: Notices of one listing; a larger difference is one row with ``overflow``, which asks for a whole scan.
 MOST_NOTICES = 65_536
 
 
@@ -47,42 +48,42 @@ class _Listing:
 
 
 class _Watcher(SimpleDataSourceStreamReader):
-    """The offset is the name of a state file that holds the last listing; replays read the notices stored beside it."""
+    """The offset is the number of a state file that holds the last listing; replays read the notices stored beside it.
+
+    ``state`` may be a folder of any file system that Arrow knows, so that a restarted driver finds it.
+    """
 
     def __init__(self, options: dict) -> None:
-        self.folder = options["state"]
+        where = options["state"]
+        self.fs, self.folder = pafs.FileSystem.from_uri(where if "://" in where or where.startswith("file:") else "file://" + os.path.abspath(where))
         self.listing = _Listing(json.loads(options["roots"]), {x.lower() for x in json.loads(options.get("excludes", json.dumps(DEFAULT_EXCLUDES)))})
-        os.makedirs(self.folder, exist_ok=True)
+        self.most = int(options.get("most", MOST_NOTICES))
+        self.fs.create_dir(self.folder, recursive=True)
 
     def _write(self, name: str, value) -> None:
-        part = os.path.join(self.folder, name + ".part")
-        with open(part, "w") as f:
-            json.dump(value, f)
-        os.replace(part, os.path.join(self.folder, name))
+        part = f"{self.folder}/{name}.part"
+        with self.fs.open_output_stream(part) as f:
+            f.write(json.dumps(value).encode())
+        self.fs.move(part, f"{self.folder}/{name}")
 
     def _load(self, name: str):
-        with open(os.path.join(self.folder, name)) as f:
-            return json.load(f)
+        with self.fs.open_input_stream(f"{self.folder}/{name}") as f:
+            return json.loads(f.read())
 
     def initialOffset(self) -> dict:  # noqa: N802
-        if not os.path.exists(os.path.join(self.folder, "0.state")):
+        if self.fs.get_file_info(f"{self.folder}/0.state").type == pafs.FileType.NotFound:
             self._write("0.state", self.listing.take())
         return {"n": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         before, now = self._load(f"{start['n']}.state"), self.listing.take()
-        changed = sorted(p for p in before.keys() | now.keys() if before.get(p) != now.get(p))[:MOST_NOTICES]
+        changed = sorted(p for p in before.keys() | now.keys() if before.get(p) != now.get(p))
         if not changed:
             return iter(()), start
-        after = dict(before)
-        for p in changed:
-            if p in now:
-                after[p] = now[p]
-            else:
-                after.pop(p, None)
-        end = {"n": start["n"] + 1}
-        stamp = time.time()
-        self._write(f"{end['n']}.state", after)
+        if len(changed) > self.most:
+            changed = [None]
+        end, stamp = {"n": start["n"] + 1}, time.time()
+        self._write(f"{end['n']}.state", now)
         self._write(f"{end['n']}.notices", [stamp, changed])
         return self._rows(stamp, changed), end
 
@@ -91,15 +92,15 @@ class _Watcher(SimpleDataSourceStreamReader):
             yield from self._rows(*self._load(f"{n}.notices"))
 
     @staticmethod
-    def _rows(stamp: float, paths: list[str]) -> Iterator[tuple]:
+    def _rows(stamp: float, paths: list[str | None]) -> Iterator[tuple]:
         at = datetime.fromtimestamp(stamp, timezone.utc)
-        return iter([(p, at) for p in paths])
+        return iter([(p, at, p is None) for p in paths])
 
     def commit(self, end: dict) -> None:
-        for name in os.listdir(self.folder):
-            n = name.partition(".")[0]
+        for info in self.fs.get_file_info(pafs.FileSelector(self.folder)):
+            n = info.base_name.partition(".")[0]
             if n.isdigit() and int(n) < end["n"]:
-                os.unlink(os.path.join(self.folder, name))
+                self.fs.delete_file(info.path)
 
 
 class DirectoryWatch(DataSource):
@@ -116,8 +117,8 @@ class DirectoryWatch(DataSource):
         return _Watcher(self.options)
 
 
-def watch(spark, roots: list[str], state: str, excludes: tuple[str, ...] = DEFAULT_EXCLUDES):
-    """A stream of (path, arrival_ts): paths that were made, deleted or changed since the last trigger."""
+def watch(spark, roots: list[str], state: str, excludes: tuple[str, ...] = DEFAULT_EXCLUDES, most: int = MOST_NOTICES):
+    """A stream of (path, arrival_ts, overflow): paths that were made, deleted or changed since the last trigger."""
     spark.dataSource.register(DirectoryWatch)
     name = hashlib.sha1("\0".join(sorted(roots)).encode()).hexdigest()[:12]
-    return spark.readStream.format("directory_watch").option("roots", json.dumps(roots)).option("excludes", json.dumps(list(excludes))).option("state", os.path.join(state, name)).load()
+    return spark.readStream.format("directory_watch").option("roots", json.dumps(roots)).option("excludes", json.dumps(list(excludes))).option("state", f"{state.rstrip('/')}/{name}").option("most", most).load()

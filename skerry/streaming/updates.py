@@ -3,32 +3,37 @@
 from __future__ import annotations
 
 import os
+import threading
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from skerry.operators.changes import DEBOUNCE_MOST_MS, apply_changes
-from skerry.runtime import shared_folder
-from skerry.sources.catalog import CatalogStore, derive
+from skerry.operators.changes import DEBOUNCE_MOST_MS, DEBOUNCE_QUIET_MS, change_ops
+from skerry.runtime import cut, shared_folder
+from skerry.sources.catalog import CatalogStore, CorruptCatalog
 
 NOTICES = "seq bigint, path string, arrival_ts timestamp"
-#: Beyond this many paths a batch is dropped and the catalog is built anew.
+#: A batch of more paths than this costs more than building the catalog anew.
 REBUILD_AT = 200_000
-STALE_SECONDS, POLL_SECONDS, SAVE_SECONDS = 30 * 60, 10 * 60, 30
+#: A catalog older than this is rebuilt at the start; without live notices it is rebuilt at these intervals.
+STALE_SECONDS, POLL_SECONDS = 30 * 60, 10 * 60
 
 
 @dataclass
 class Updater:
     """Applies batches of notices to a stored catalog.
 
-    ``state`` gives the present rows of the file system, ``rebuild`` a whole new catalog. A batch that arrives while the
-    pointer moves is applied to the newest version, so nothing is lost; readers keep the version they opened.
+    ``state`` gives the present rows of the file system, ``rebuild`` a whole new catalog. A rebuild runs in the background, one
+    at a time; batches that arrive meanwhile are kept and replayed on its result before that is published. Readers keep the
+    version they opened. A notice without a path, or with ``overflow``, says that notices were lost, so only a rebuild helps.
     """
 
     store: CatalogStore
@@ -37,70 +42,168 @@ class Updater:
     excludes: tuple[str, ...] = ()
     own_folder: str = ""
     on_update: Callable[[int], None] | None = None
+    on_rebuild: Callable[[], None] | None = None
+    on_error: Callable[[Exception], None] | None = None
+    live: bool = True
+    clock: Callable[[], float] = time.time
     applied: int = field(default=0, init=False)
+    rebuilt: int = field(default=0, init=False)
+
+    def __post_init__(self) -> None:
+        self._lock = threading.RLock()
+        self._rebuilding: threading.Thread | None = None
+        self._again = False
+        self._missed: list[DataFrame] = []
+
+    def _published(self, version: int) -> None:
+        if self.on_update:
+            self.on_update(version)
 
     def batch(self, notices: DataFrame, _batch_id: int = 0) -> None:
-        pending = notices.select("path").where(F.col("path").isNotNull())
+        lost = F.col("path").isNull() if "seq" not in notices.columns else F.lit(False)
+        if "overflow" in notices.columns:
+            lost = F.coalesce("overflow", F.lit(False))
+        # The folder of the catalog itself is left out in any letter case.
+        pending = notices.select("path", lost.alias("lost")).where("path is not null or lost")
         if self.own_folder:
-            pending = pending.where(~F.col("path").startswith(self.own_folder))
-        pending = pending.distinct()
+            pending = pending.where(F.col("lost") | ~F.lower("path").startswith(self.own_folder.lower()))
+        pending = cut(pending.distinct())
         n = pending.limit(REBUILD_AT + 1).count()
         if not n:
             return
-        meta = self.store.metadata()
-        if n > REBUILD_AT:
-            version = self.store.save(self.rebuild(), meta["roots"], meta["excludes"])
-        else:
-            after = apply_changes(self.store.load(), pending, self.state(), self.excludes)
-            version = self.store.save(derive(after), meta["roots"], meta["excludes"])
+        if n > REBUILD_AT or not pending.where("lost").isEmpty():
+            self.start_rebuild()
+            return
+        with self._lock:
+            if self._rebuilding is not None:
+                self._missed.append(pending.select("path"))
+                return
+            self._apply(pending.select("path"))
+
+    def _apply(self, pending: DataFrame) -> None:
+        ops = cut(change_ops(self.store.load(), pending, self.state(), self.excludes))
+        if ops.isEmpty():
+            return
+        version = self.store.publish(ops, int(self.clock()) if self.live else self.store.metadata()["created"])
         self.applied += 1
-        if self.on_update:
-            self.on_update(version)
-
-    def stale(self, now: int) -> bool:
-        return self.store.age(now) > STALE_SECONDS
+        self._published(version)
+
+    def start_rebuild(self) -> None:
+        """Rebuild in the background; a call while one runs makes one more follow, however often it comes."""
+        with self._lock:
+            if self._rebuilding is not None:
+                self._again = True
+                return
+            self._rebuilding = threading.Thread(target=self._rebuild, daemon=True)
+        if self.on_rebuild:
+            self.on_rebuild()
+        self._rebuilding.start()
+
+    def _rebuild(self) -> None:
+        try:
+            try:
+                meta = self.store.metadata()
+            except CorruptCatalog:
+                meta = {"roots": [], "excludes": list(self.excludes)}
+            rows = cut(self.rebuild())
+            with self._lock:
+                version = self.store.save(rows, meta["roots"], meta["excludes"], int(self.clock()))
+                self.rebuilt += 1
+                missed, self._missed = self._missed, []
+                self._published(version)
+                if missed:
+                    self._apply(reduce(DataFrame.unionByName, missed).distinct())
+        except Exception as e:  # the version in use stays
+            if self.on_error is None:
+                raise
+            self.on_error(e)
+        finally:
+            with self._lock:
+                self._rebuilding, again, self._again = None, self._again, False
+            if again:
+                self.start_rebuild()
+
+    def wait(self, seconds: float | None = None) -> None:
+        """Wait for the rebuild that runs."""
+        thread = self._rebuilding
+        if thread is not None:
+            thread.join(seconds)
+
+    def stale(self, now: int | None = None) -> bool:
+        """True if there is no catalog or it is older than half an hour."""
+        try:
+            return self.store.age(int(self.clock()) if now is None else now) > STALE_SECONDS
+        except CorruptCatalog:
+            return True
+
+    def tick(self) -> None:
+        """What time alone brings about: without live notices the catalog is rebuilt every ten minutes."""
+        try:
+            due = not self.live and self.store.age(int(self.clock())) >= POLL_SECONDS
+        except CorruptCatalog:
+            due = True
+        if due:
+            self.start_rebuild()
 
     def start(self, notices: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
-        """Consume a stream of notices; a trigger collects what arrives within the longest debounce."""
+        """Consume a stream of notices; a stale catalog is rebuilt first, and a trigger collects what arrives within the longest debounce."""
+        if self.stale():
+            self.start_rebuild()
         writer = notices.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{DEBOUNCE_MOST_MS // 1000} seconds")).start()
 
 
 class Debounce(StatefulProcessor):
-    """Emits each path once it was quiet, or at the latest after the longest delay; one small state per path."""
+    """Collects the notices of one catalog and emits them as a batch after 300 ms of quiet, or two seconds after the first.
 
-    def __init__(self, quiet_ms: int = 300, most_ms: int = DEBOUNCE_MOST_MS) -> None:
-        self.quiet, self.most = quiet_ms, most_ms
+    The state is the time of the first notice and one entry per pending path. With more than ``most_paths`` of them the paths
+    are dropped and one row with ``overflow`` says that the catalog must be rebuilt.
+    """
+
+    def __init__(self, quiet_ms: int = DEBOUNCE_QUIET_MS, most_ms: int = DEBOUNCE_MOST_MS, most_paths: int = REBUILD_AT) -> None:
+        self.quiet, self.most, self.most_paths = quiet_ms, most_ms, most_paths
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("pending", StructType([StructField("first", LongType()), StructField("n", LongType())]))
+        self.first = handle.getValueState("first", StructType([StructField("ms", LongType()), StructField("paths", LongType())]))
+        self.pending = handle.getMapState("pending", StructType([StructField("path", StringType())]), StructType([StructField("n", LongType())]))
 
     def handleInputRows(self, key, rows, timer_values):  # noqa: N802
         now = timer_values.getCurrentProcessingTimeInMs()
-        n = sum(len(pdf) for pdf in rows)
-        first, seen = self.state.get() if self.state.exists() else (now, 0)
+        first, paths = self.first.get() if self.first.exists() else (now, 0)
+        for pdf in rows:
+            for path, n in pdf["path"].value_counts().items():
+                if paths > self.most_paths:
+                    break
+                known = self.pending.containsKey((path,))
+                self.pending.updateValue((path,), ((self.pending.getValue((path,))[0] if known else 0) + int(n),))
+                paths += not known
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
-        self.state.update((first, seen + n))
+        self.first.update((first, paths))
         self.handle.registerTimer(min(now + self.quiet, first + self.most))
         return iter(())
 
     def handleExpiredTimer(self, key, timer_values, expired):  # noqa: N802
         import pandas as pd
 
-        _, n = self.state.get()
-        self.state.clear()
-        yield pd.DataFrame({"path": [key[0]], "n": [n]})
+        first, paths = self.first.get()
+        if paths > self.most_paths:
+            rows = [(first, None, paths, True)]
+        else:
+            rows = [(first, path[0], n[0], False) for path, n in self.pending.iterator()]
+        self.first.clear()
+        self.pending.clear()
+        yield pd.DataFrame(rows, columns=["batch_ms", "path", "n", "overflow"])
 
     def close(self) -> None:
         pass
 
 
-def debounced(notices: DataFrame) -> DataFrame:
-    """(path, n) of a stream of notices, each path once it has been quiet."""
-    out = StructType([StructField("path", StringType()), StructField("n", LongType())])
-    return notices.where("path is not null").groupBy("path").transformWithStateInPandas(Debounce(), out, "Append", "ProcessingTime")
+def debounced(notices: DataFrame, catalog: str = "") -> DataFrame:
+    """(batch_ms, path, n, overflow) of a stream of notices of one catalog; batches are those of ``Debounce``."""
+    out = StructType([StructField("batch_ms", LongType()), StructField("path", StringType()), StructField("n", LongType()), StructField("overflow", BooleanType())])
+    return notices.where("path is not null").groupBy(F.lit(catalog).alias("catalog")).transformWithStateInPandas(Debounce(), out, "Append", "ProcessingTime")
 
 
 def notice_stream(spark: SparkSession, folder: str, schema: str = NOTICES) -> DataFrame:

@@ -1,13 +1,18 @@
+import json
 import os
+import random
+import threading
+import time
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from skerry.operators import search
+from skerry.operators.changes import debounce_batches
 from skerry.plans.language import parse
 from skerry.session import Page, Previews, Typing, reference
 from skerry.sources.catalog import CatalogStore, build_catalog, derive
-from skerry.sources.watch import watch
+from skerry.sources.watch import _Watcher, watch
 from skerry.streaming.updates import Debounce, Updater
 
 
@@ -56,20 +61,30 @@ class _State:
         self.value = None
 
 
+class _Map(dict):
+    containsKey, getValue, updateValue = dict.__contains__, dict.__getitem__, dict.__setitem__  # noqa: N815
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+
 class _Handle:
     def __init__(self):
         self.timers = []
 
-    def getValueState(self, *_):
+    def getValueState(self, *_):  # noqa: N802
         return _State()
 
-    def listTimers(self):
+    def getMapState(self, *_):  # noqa: N802
+        return _Map()
+
+    def listTimers(self):  # noqa: N802
         return list(self.timers)
 
-    def deleteTimer(self, t):
+    def deleteTimer(self, t):  # noqa: N802
         self.timers.remove(t)
 
-    def registerTimer(self, t):
+    def registerTimer(self, t):  # noqa: N802
         self.timers.append(t)
 
 
@@ -77,21 +92,152 @@ class _Clock:
     def __init__(self, now):
         self.now = now
 
-    def getCurrentProcessingTimeInMs(self):
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
         return self.now
 
 
+def _notices(*paths):
+    return iter([pd.DataFrame({"path": list(paths)})])
+
+
 def test_debounce_timers():
     d, h = Debounce(), _Handle()
     d.init(h)
-    rows = lambda n: iter([pd.DataFrame({"path": ["/a"] * n})])
-    list(d.handleInputRows(("/a",), rows(2), _Clock(1000)))
+    list(d.handleInputRows(("",), _notices("/a", "/a", "/b"), _Clock(1000)))
     assert h.timers == [1300]
     for now in range(1200, 3000, 200):
-        list(d.handleInputRows(("/a",), rows(1), _Clock(now)))
+        list(d.handleInputRows(("",), _notices("/a"), _Clock(now)))
     assert h.timers == [3000]
-    (out,) = d.handleExpiredTimer(("/a",), _Clock(3000), None)
-    assert out.to_dict("records") == [{"path": "/a", "n": 11}] and not d.state.exists()
+    (out,) = d.handleExpiredTimer(("",), _Clock(3000), None)
+    assert sorted(map(tuple, out.values.tolist())) == [(1000, "/a", 11, False), (1000, "/b", 1, False)] and not d.first.exists() and not d.pending
+
+
+def test_debounce_overflow():
+    d, h = Debounce(most_paths=3), _Handle()
+    d.init(h)
+    list(d.handleInputRows(("",), _notices(*"abcdefgh"), _Clock(0)))
+    (out,) = d.handleExpiredTimer(("",), _Clock(300), None)
+    assert out["overflow"].tolist() == [True] and out["path"].isna().all() and len(d.pending) == 0
+
+
+def _walked(times):
+    """Batches by the rule itself, one notice at a time."""
+    out, start, last = [], None, None
+    for t in sorted(times):
+        if start is None or t - last > 300 or t - start > 2000:
+            start = t
+        last = t
+        out.append(start)
+    return sorted(out)
+
+
+def test_debounced_batches_follow_the_rule(spark):
+    rng = random.Random(1)
+    day = 86_400_000
+    times = [day - 1500 + i * 130 for i in range(60)]  # a burst over midnight and over two seconds
+    at = 5 * day
+    for _ in range(3_000):
+        at += rng.choice([1, 40, 250, 299, 300, 301, 302, 2000, 61_000])
+        times.append(at)
+    times += [9 * day + i * 290 for i in range(1_000)]  # one run over several slices
+    rows = [(i, f"/p{i % 7}", t) for i, t in enumerate(times)] + [(-1, None, day), (-2, "/x", None)]
+    df = spark.createDataFrame(rows, "seq bigint, path string, ms bigint").select("path", F.timestamp_millis("ms").alias("arrival_ts"), F.lit(1).alias("slice"))
+    got = debounce_batches(df).groupBy("batch_ms").agg(F.sum("n").alias("n")).collect()
+    assert sorted(b for r in got for b in [r.batch_ms] * r.n) == _walked(times)
+    assert debounce_batches(df.where("path = 'none'")).count() == 0
+
+
+FILES = "path string, size bigint, mod bigint, is_dir boolean"
+
+
+def test_rebuild_replays_what_arrives_meanwhile(spark, tmp_path):
+    store = CatalogStore(spark, str(tmp_path / "cat"))
+    begun, go = threading.Event(), threading.Event()
+    state = lambda: spark.createDataFrame([("/r", 0, 1, True), ("/r/b", 2, 2, False)], FILES)
+
+    def rebuild():
+        begun.set()
+        go.wait(60)
+        return spark.createDataFrame([("/r", 0, 1, True), ("/r/a", 1, 1, False)], FILES)
+
+    calls = []
+    updater = Updater(store, state, rebuild, own_folder=str(tmp_path), on_rebuild=lambda: calls.append(1), clock=lambda: 5_000)
+    assert updater.stale()
+    updater.start_rebuild()
+    assert begun.wait(60)
+    updater.start_rebuild()
+    updater.start_rebuild()
+    updater.batch(spark.createDataFrame([("/r/a", 1), ("/r/b", 2), (str(tmp_path).upper() + "/cat/x", 3)], "path string, seq bigint"))
+    assert updater.applied == 0
+    go.set()
+    for _ in range(600):
+        if len(calls) == 2 and updater.rebuilt == 2:
+            break
+        time.sleep(0.1)
+    updater.wait(60)
+    assert (len(calls), updater.rebuilt, updater.applied) == (2, 2, 1)
+    updater.batch(spark.createDataFrame([("/r/a", 1), ("/r/b", 2)], "path string, seq bigint"))
+    assert sorted(r.path for r in store.load().collect()) == ["/r", "/r/b"] and not updater.stale(5_000 + 1800) and updater.stale(5_000 + 1801)
+
+
+def test_lost_notices_lead_to_a_rebuild(spark, tmp_path):
+    store = CatalogStore(spark, str(tmp_path / "cat"))
+    rows = spark.createDataFrame([("/r", 0, 1, True)], FILES)
+    store.save(rows, created=0)
+    now = [600]
+    updater = Updater(store, lambda: rows, lambda: rows, live=False, clock=lambda: now[0])
+    updater.batch(spark.createDataFrame([(None, True)], "path string, overflow boolean"))
+    updater.wait(60)
+    assert updater.rebuilt == 1
+    updater.tick()
+    updater.wait(60)
+    assert updater.rebuilt == 1
+    now[0] += 600
+    updater.tick()
+    updater.wait(60)
+    assert updater.rebuilt == 2
+
+
+def test_batches_are_published_beside_the_base(spark, tmp_path):
+    store = CatalogStore(spark, str(tmp_path / "cat"))
+    base = [("/r", 0, 1, True), *((f"/r/f{i}", i, 1, False) for i in range(500)), ("/r/d", 0, 1, True), ("/r/d/x", 1, 1, False), ("/r/d/y", 1, 1, False)]
+    store.save(spark.createDataFrame(base, FILES), roots=["/r"])
+    data = store.metadata()["data"]
+    worlds = [
+        [("/r/d", 0, 2, True), ("/r/d/x", 5, 2, False), ("/r/f1", 9, 9, False)],  # notices: f1, d/x, d/y
+        [("/r/f1", 9, 9, False)],  # notices: d
+        [("/r/d", 7, 3, False), ("/r/f1", 9, 9, False)],  # notices: d, now a file
+        [("/r/d", 0, 4, True), ("/r/d/z", 3, 4, False), ("/r/f1", 9, 9, False)],  # notices: d, a folder again
+    ]
+    want = {r[0]: r[1] for r in base}
+    for world, changed, gone, put in zip(worlds, (["/r/f1", "/r/d/x", "/r/d/y"], ["/r/d"], ["/r/d"], ["/r/d"]), (["/r/d/y"], ["/r/d", "/r/d/x"], [], []), ({"/r/f1": 9, "/r/d/x": 5}, {}, {"/r/d": 7}, {"/r/d": 0, "/r/d/z": 3})):
+        updater = Updater(store, lambda w=world: spark.createDataFrame(w, FILES), lambda: None)
+        updater.batch(spark.createDataFrame([(p,) for p in changed], "path string").withColumn("seq", F.lit(1)))
+        for p in gone:
+            want.pop(p)
+        want.update(put)
+        assert {r.path: r.size for r in store.load().collect()} == want
+    meta = store.metadata()
+    assert meta["data"] == data and len(meta["deltas"]) == 4 and meta["roots"] == ["/r"]
+    version = store.compact()
+    assert {r.path: r.size for r in store.load().collect()} == want and store.metadata()["deltas"] == [] and version == store.metadata()["version"]
+    assert store.vacuum(1) == 5 and store.load().count() == len(want)
+
+
+def test_a_large_difference_is_an_overflow(spark, tmp_path):
+    root = tmp_path / "r"
+    root.mkdir()
+    reader = lambda: _Watcher({"roots": json.dumps([str(root)]), "state": str(tmp_path / "s"), "most": "3"})
+    start = reader().initialOffset()
+    for i in range(9):
+        (root / f"f{i}").write_text("x")
+    rows, end = reader().read(start)
+    assert [(p, o) for p, _, o in rows] == [(None, True)] and [o for *_, o in reader().readBetweenOffsets(start, end)] == [True]
+    (root / "f0").unlink()
+    rows, last = reader().read(end)
+    assert [(os.path.basename(p), o) for p, _, o in rows] == [("f0", False)]
+    reader().commit(last)
+    assert reader().read(last)[1] == last
 
 
 def test_session_helpers(spark):
