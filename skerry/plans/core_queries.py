@@ -181,22 +181,65 @@ def _(spark, sf_dir):
     return search.find(trees.documents(spark, sf_dir), plan("is:file"), 25, "largest", offset=50)
 
 
-@query("o8_keep_position", "select cast(rank - 1 as bigint) as position from (" + top_sql(DOCUMENTS_SQL, "ext = 'py'", "mod", 50) + ") where rank = 8")
+@query("o8_keep_position", "select cast(arg_min(rank, path) - 1 as bigint) as position from (" + top_sql(DOCUMENTS_SQL, "ext = 'py'", "mod", 50) + ")")
 def _(spark, sf_dir):
     page = search.find(trees.documents(spark, sf_dir), plan(".py"), 50)
-    return search.keep_position(page, page.where("rank = 8").first().path)
+    return search.keep_position(page, page.agg(F.min("path").alias("path")).first().path)
 
 
-@query("t11_positions", f"select path, [cast(x as int) for x in range(length(path) - length(name), length(path) - length(name) + 3)] as offsets from {DOCUMENTS_SQL} where starts_with(name_lower, 'doc')")
+@query("o8_keep_position_gone", "select cast(0 as bigint) as position from (select count(*) from documents)")
 def _(spark, sf_dir):
-    p = plan("^doc")
-    return search.matching(trees.documents(spark, sf_dir), p).select("path", search.match_positions(p).alias("offsets"))
+    return search.keep_position(search.find(trees.documents(spark, sf_dir), plan(".py"), 50), "/no such path")
 
 
-@query("t12_runs", f"select path, cast(case when length(name) > 3 then 2 else 1 end as bigint) as runs, substr(name, 1, 3) as first_run from {DOCUMENTS_SQL} where starts_with(name_lower, 'doc')")
+_NAME_AT = "(length(path) - length(name))"
+
+
+def offsets_sql(low: str, base: str, text: str) -> str:
+    """Character offsets of a fuzzy word, unrolled by character."""
+    esc = lambda c: "\\" + c if c in "\\^-[].()" else c
+    forward = "^" + "".join(f"[^{esc(c)}]*{esc(c)}" for c in text)
+    backward = "^" + esc(text[-1]) + "".join(f"[^{esc(c)}]*{esc(c)}" for c in reversed(text[:-1]))
+    parts = "^" + esc(text[0]) + "".join(f"([^{esc(c)}]*){esc(c)}" for c in text[1:]) + "$"
+    places = ["(length(pre) - length(win))"]
+    for k in range(1, len(text)):
+        places.append(f"{places[-1]} + 1 + length(regexp_extract(win, '{parts}', {k}))")
+    return f"(select [{', '.join(f'cast({base} + {x} as int)' for x in places)}] from (select pre, reverse(regexp_extract(reverse(pre), '{backward}')) as win from (select regexp_extract({low}, '{forward}') as pre)))"
+
+
+def fuzzy_offsets_sql(text: str) -> str:
+    """Offsets in the path: within the name if the word scores there."""
+    return f"case when ({fuzzy_term_sql(text)}).i then {offsets_sql('name_lower', _NAME_AT, text)} else {offsets_sql('path_lower', '0', text)} end"
+
+
+def _offsets(name: str, line: str, where: str, offsets: str) -> None:
+    """A query for the highlighted offsets of every match."""
+
+    @query(name, f"select path, {offsets} as offsets from {DOCUMENTS_SQL} where {where}")
+    def run(spark, sf_dir):
+        p = plan(line)
+        return search.matching(trees.documents(spark, sf_dir), p).select("path", search.match_positions(p).alias("offsets"))
+
+
+_offsets("t11_prefix", "^doc", "starts_with(name_lower, 'doc')", f"[cast(x as int) for x in range({_NAME_AT}, {_NAME_AT} + 3)]")
+_offsets("t11_exact", "'port", "contains(path_lower, 'port')", "[cast(x as int) for x in range(instr(path_lower, 'port') - 1, instr(path_lower, 'port') + 3)]")
+_offsets("t11_suffix", "md$", "ends_with(path_lower, 'md')", "[cast(x as int) for x in range(length(path) - 2, length(path))]")
+_offsets("t11_fuzzy", "rpt", "regexp_matches(path_lower, '^[^r]*r[^p]*p[^t]*t')", fuzzy_offsets_sql("rpt"))
+_offsets("t11_several", "wiki 'al txt$", "regexp_matches(path_lower, '^[^w]*w[^i]*i[^k]*k[^i]*i') and contains(path_lower, 'al') and ends_with(path_lower, 'txt')", f"list_sort(list_distinct(list_concat({fuzzy_offsets_sql('wiki')}, [cast(x as int) for x in range(instr(path_lower, 'al') - 1, instr(path_lower, 'al') + 1)], [cast(x as int) for x in range(length(path) - 3, length(path))])))")
+
+
+@query(
+    "t12_runs",
+    f"""with o as (select path, name, [x - {_NAME_AT} for x in {fuzzy_offsets_sql('dc')} if x >= {_NAME_AT}] as offs from {DOCUMENTS_SQL} where regexp_matches(path_lower, '^[^d]*d[^c]*c'))
+select path, cast(1 + len([i for i in range(1, length(name)) if list_contains(offs, i) <> list_contains(offs, i - 1)]) as bigint) as runs,
+array_to_string([substr(name, cast(i + 1 as int), 1) for i in range(0, length(name)) if list_contains(offs, i)], '') as matched from o""",
+)
 def _(spark, sf_dir):
-    runs = search.highlight_runs(F.col("name"), F.array(F.lit(0), F.lit(1), F.lit(2)))
-    return search.matching(trees.documents(spark, sf_dir), plan("^doc")).select("path", runs.alias("r")).select("path", F.size("r").cast("bigint").alias("runs"), F.element_at("r", 1)["text"].alias("first_run"))
+    p = plan("dc")
+    name_at = F.char_length("path") - F.char_length("name")
+    inside = F.filter(F.transform(search.match_positions(p), lambda x: (x - name_at).cast("int")), lambda x: x >= 0)
+    runs = search.matching(trees.documents(spark, sf_dir), p).select("path", search.highlight_runs(F.col("name"), inside).alias("r"))
+    return runs.select("path", F.size("r").cast("bigint").alias("runs"), F.concat_ws("", F.transform(F.filter("r", lambda x: x["matched"]), lambda x: x["text"])).alias("matched"))
 
 
 # ---------- content search
@@ -244,6 +287,45 @@ _regex("g_regex", "v[0-9]+\\.[0-9]+\\.[0-9]+")
 _regex("g_regex_case", "U\\.S\\. [a-z]+")
 
 
+# Lines with tabs, carriage returns and capitals: every blank a tab, every line of the text twice, the second in capitals.
+_HOSTILE = f"(select path, replace(text, ' ', chr(9)) || chr(13) || chr(13) || chr(10) || upper(replace(text, chr(10), chr(13) || chr(10))) as text from {CONTENTS_SQL})"
+
+
+def _hostile(spark, sf_dir):
+    tabbed = F.concat(F.replace("text", F.lit(" "), F.lit("\t")), F.lit("\r\r\n"), F.upper(F.replace("text", F.lit("\n"), F.lit("\r\n"))))
+    return trees.contents(spark, sf_dir).select("path", tabbed.alias("text"))
+
+
+@query("g10_hostile_lines", grep_sql("instr(low, 'archive') - 1", "substr(raw, instr(low, 'archive'), 7)", "contains(low, 'archive')", None, None).replace(CONTENTS_SQL, _HOSTILE).replace("h as (select path, line, raw,", f"m as (select *, translate(raw, '{trees.UPPER}', '{trees.LOWER}') as low from l), h as (select path, line, raw,").replace(" from l where", " from m where"))
+def _(spark, sf_dir):
+    return grep.grep(_hostile(spark, sf_dir), grep.Matcher("archive"), None, None)
+
+
+@query("g3_binary_gate", f"select path, (length(path) % 3 = 0) as is_binary from {CONTENTS_SQL}")
+def _(spark, sf_dir):
+    """A zero byte at the front of every text whose path has a length divisible by three hides the file from content search."""
+    raw = F.when(F.char_length("path") % 3 == 0, F.concat(F.lit(b"\x00"), F.encode("text", "utf-8"))).otherwise(F.encode("text", "utf-8"))
+    return trees.contents(spark, sf_dir).select("path", grep.text_of_bytes(raw).isNull().alias("is_binary"))
+
+
+_CONTROLS = "repeat(chr(1), length(path) % 17) || substr(text, 1, 200)"
+
+
+@query("x10_looks_like_text", f"select path, (length(t) - length(regexp_replace(t, '[\\x00-\\x08\\x0b\\x0e-\\x1f\\x7f]', '', 'g'))) * 20 < greatest(length(t), 1) as is_text from (select path, {_CONTROLS} as t from {CONTENTS_SQL})")
+def _(spark, sf_dir):
+    mixed = F.concat(F.repeat(F.lit("\x01"), F.char_length("path") % 17), F.substring("text", 1, 200))
+    return trees.contents(spark, sf_dir).select("path", display.looks_like_text(mixed).alias("is_text"))
+
+
+_WHOLE = "coalesce((select max(k) from unnest(range(0, 102)) t(k) where strlen(substr(text, 1, k)) <= 101), 0)"
+
+
+@query("x11_valid_utf8", f"select path, case when strlen(text) <= 101 then text else substr(text, 1, {_WHOLE}) || case when strlen(substr(text, 1, {_WHOLE})) < 101 then '?' else '' end end as cut from {CONTENTS_SQL}")
+def _(spark, sf_dir):
+    """The first 101 bytes of each text, which may end inside a character."""
+    return trees.contents(spark, sf_dir).select("path", display.valid_utf8(F.substring(F.encode("text", "utf-8"), F.lit(1), F.lit(101))).alias("cut"))
+
+
 @query("g2_candidates", f"select path from {LATEST_SQL} where not is_dir and size between 1 and 16777216 and ext not in ('" + "','".join(grep.BINARY_EXTENSIONS) + "') and contains(dir_lower, 'src')")
 def _(spark, sf_dir):
     return grep.candidates(trees.snapshot(spark, sf_dir), plan("in:src")).select("path")

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -277,7 +278,23 @@ class CatalogStore:
         return len(old)
 
 
-def file_contents(spark: SparkSession, folder: str, largest: int = 16 << 20) -> DataFrame:
-    """(path, size, content) of the files below a folder; larger files are never opened."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.where(F.col("length").between(1, largest)).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size"), "content")
+def read_files(files: DataFrame, largest: int = 16 << 20) -> DataFrame:
+    """(path, content) of the files (path, size): only these are opened, each by the task that holds its path.
+
+    Paths are spread by hash, so the files of one folder are read in parallel. A file that is gone or may not be read has no
+    row; one that has grown beyond ``largest`` since the scan is not read.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    with open(path, "rb") as f:
+                        content = f.read(largest + 1)
+                except OSError:
+                    continue
+                if 0 < len(content) <= largest:
+                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([content], pa.binary())], names=["path", "content"])
+
+    tasks = files.sparkSession.sparkContext.defaultParallelism * 4
+    return files.select("path").distinct().repartition(tasks, "path").mapInArrow(work, "path string, content binary")

@@ -1,4 +1,5 @@
 import io
+import json
 import os
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skerry.engine import Engine, main
 from skerry.operators.snapshots import snapshot_changes
-from skerry.sources.catalog import CatalogStore, CorruptCatalog, build_catalog
+from skerry.sources.catalog import CatalogStore, CorruptCatalog, _Reader, build_catalog
 from skerry.streaming.updates import Updater, notice_stream
 
 SCHEMA = "snap_id int, path string, size bigint, mod bigint, is_dir boolean, seen_ts timestamp"
@@ -44,6 +45,45 @@ def test_scan_save_load_search_grep(spark, tree, tmp_path):
     assert main(["find", "is:bogus", "--catalog", str(tmp_path / "cat")], spark, out) == 1
 
 
+def test_content_search_opens_only_candidates(spark, tree, tmp_path):
+    engine = Engine(spark, str(tmp_path / "cat"))
+    assert engine.index([tree, tree + "/src", tree]) == 1 and engine.progress.get["entries"] == engine.catalog().count()
+    hits = engine.grep("todo .go").collect()
+    assert [os.path.basename(r.path) for r in hits] == ["tui.go"]
+    assert engine.scanned.get == {"files": 2, "bytes": len(b"package main\n// TODO render\n")}
+    os.unlink(tree + "/src/ui/tui.go")
+    assert engine.grep("todo .go").collect() == [] and engine.scanned.get["files"] == 1
+    row = engine.stats().first()
+    assert row.index_bytes > 0 and row.age >= 0 and row.roots[0] == tree and "node_modules" in row.excludes and engine.total("is:file") == 5 - 1
+    out = io.StringIO()
+    assert main(["watch", "--rounds", "1", "--seconds", "0", "--catalog", str(tmp_path / "cat")], spark, out) == 0
+    assert " entries, -1" in out.getvalue()
+    assert main(["stats", "--catalog", str(tmp_path / "cat")], spark, out) == 0 and "left out: " in out.getvalue()
+
+
+def test_a_deep_folder_is_divided(spark, tmp_path):
+    deep = tmp_path / "one" / "two"
+    for i in range(40):
+        (deep / f"d{i}").mkdir(parents=True)
+        (deep / f"d{i}" / "f").write_text("x")
+    reader = _Reader({"roots": json.dumps([str(tmp_path)]), "folders": "30"})
+    parts = reader.partitions()
+    assert 40 <= len(parts) and len({r[0] for p in parts for r in reader.read(p)}) == sum(1 for p in parts for _ in reader.read(p)) == 83
+    gone = _Reader({"roots": json.dumps([str(tmp_path / "none")])})
+    assert [r for p in gone.partitions() for r in gone.read(p)] == []
+
+
+def test_engine_follows_notices(spark, tree, tmp_path):
+    engine = Engine(spark, str(tmp_path / "cat"))
+    engine.index([tree])
+    engine.follow(str(tmp_path / "w"), once=True).awaitTermination()
+    os.unlink(tree + "/docs/README.md")
+    with open(tree + "/docs/new.md", "w") as f:
+        f.write("new")
+    engine.follow(str(tmp_path / "w"), once=True).awaitTermination()
+    assert engine.pick("new.md").endswith("new.md") and engine.pick("'readme") is None
+
+
 def test_overlapping_roots_and_missing_roots(spark, tree):
     rows = build_catalog(spark, [tree, tree + "/src", "/no/such/folder"], excludes=("BIG.BIN",))
     assert rows.count() == rows.select("path").distinct().count()
