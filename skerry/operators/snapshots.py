@@ -5,7 +5,8 @@ of 64 neighbouring ranges roll up into their parent, and the trees of two consec
 from the root down. Only rows of leaf ranges whose digests differ are read again and compared one by one.
 
 Defined results:
-* several rows of a key in one snapshot: the one with the latest ``seen`` value counts (NULL is earliest);
+* several rows of a key in one snapshot: the one with the latest ``seen`` value counts (NULL is earliest), of those that tie the
+  one with the greatest hash of its values, in the digests and in the comparison alike;
 * NULL numeric values count as 0, a NULL boolean as false, rows with a NULL key or an unknown snapshot are left out;
 * a snapshot with a NULL capture time is left out, snapshots captured at the same time are ordered by id;
 * the first snapshot has no rows; an empty table or a single snapshot gives an empty result;
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 from skerry.runtime import broadcast_if_small, cut
 
 FANOUT_BITS = 6
-LEAF_ROWS = 16
+#: Keys of a leaf. Smaller leaves cost more digests and spare more rows: with a share c of changed keys, 1 - (1 - c)**LEAF_ROWS are read again.
+LEAF_ROWS = 4
 RESULT = "snap_id int, path string, change_kind string"
 
 
@@ -35,18 +37,10 @@ def _ordinal(order: list[int]) -> Column:
 
 
 def _rows(entries: DataFrame, order: list[int]) -> DataFrame:
-    """The columns compared, with the capture order and the 64-bit range hash of the key."""
-    return entries.select(
-        _ordinal(order).alias("ord"),
-        "path",
-        F.struct(
-            F.col("seen_ts").alias("seen"),
-            F.coalesce("size", F.lit(0)).alias("size"),
-            F.coalesce("mod", F.lit(0)).alias("mod"),
-            F.coalesce("is_dir", F.lit(False)).alias("is_dir"),
-        ).alias("state"),
-        F.xxhash64("path").alias("h1"),
-    ).where("ord is not null and path is not null")
+    """The columns compared, with the capture order and the 64-bit range hash of the key. States order by time, then by hash."""
+    size, mod, is_dir = F.coalesce("size", F.lit(0)), F.coalesce("mod", F.lit(0)), F.coalesce("is_dir", F.lit(False))
+    state = F.struct(F.col("seen_ts").alias("seen"), F.xxhash64(size, mod, is_dir).alias("dig"), size.alias("size"), mod.alias("mod"), is_dir.alias("is_dir"))
+    return entries.select(_ordinal(order).alias("ord"), "path", state.alias("state"), F.xxhash64("path").alias("h1")).where("ord is not null and path is not null")
 
 
 def leaf_bits_for(rows: int, snapshots: int, leaf_rows: int = LEAF_ROWS) -> int:
@@ -64,7 +58,7 @@ def leaf_digests(rows: DataFrame, leaf_bits: int) -> DataFrame:
         "ord",
         "h1",
         F.xxhash64(F.lit(1), "path").alias("h2"),
-        F.struct("state.seen", F.xxhash64("state.size", "state.mod", "state.is_dir").alias("dig")).alias("last"),
+        F.struct("state.seen", "state.dig").alias("last"),
     )
     latest = one.groupBy("ord", "h1", "h2").agg(F.max("last").alias("last"))
     return latest.groupBy("ord", F.shiftrightunsigned("h1", 64 - leaf_bits).alias("leaf")).agg(

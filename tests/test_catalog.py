@@ -137,6 +137,8 @@ def test_snapshot_changes_edges(spark):
         (1, None, 1, 1, False, "2024-01-01"), (7, "/unknown", 1, 1, False, "2024-01-01"),
         (1, "", 1, 1, False, "2024-01-01"), (2, "x" * 100_000, 1, 1, False, "2024-01-01"),
     ]
+    ties = [(n, "/tie", v, 1, False, "2024-01-01") for n in (1, 2) for v in ((1, 2, 3) if n == 1 else (3, 1, 2))]
+    assert changed(spark, ties) == []
     want = [(2, "", "removed"), (2, "/dup", "changed"), (2, "/gone", "removed"), (2, "/kind", "changed"), (2, "/new", "added"), (2, "x" * 100_000, "added")]
     assert changed(spark, rows) == want
     assert changed(spark, rows, ((2, "2024-01-02"), (1, "2024-01-05")))[1] == (1, "/dup", "changed")
