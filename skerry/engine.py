@@ -35,12 +35,15 @@ USAGE = """usage: skerry COMMAND [ARGUMENTS]
 class Engine:
     """Find, grep and maintain one catalog."""
 
-    def __init__(self, spark: SparkSession, folder: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, folder: str | None = None, hold: bool = False) -> None:
+        """``hold`` keeps the current version in the memory of the executors between searches."""
         self.spark = spark
         self.store = CatalogStore(spark, catalog_path(folder))
         self.progress: Observation | None = None
         self.scanned: Observation | None = None
         self._indexing = threading.Lock()
+        self.hold = hold
+        self._held: tuple[int, DataFrame] | None = None
 
     def index(self, roots: list[str] | None = None, excludes: tuple[str, ...] = (), use_defaults: bool = True) -> int:
         """Scan, save, and return the new version. ``progress`` tells how many entries the scan has found.
@@ -60,14 +63,27 @@ class Engine:
     def catalog(self, strict: bool = True) -> DataFrame:
         """The current version. Without ``strict`` a missing or corrupt catalog is built first."""
         try:
-            return self.store.load()
+            return self._current()
         except CorruptCatalog:
             if strict:
                 raise
             self.index()
+            return self._current()
+
+    def _current(self) -> DataFrame:
+        if not self.hold:
             return self.store.load()
+        version = self.store.metadata()["version"]
+        if self._held is None or self._held[0] != version:
+            rows = self.store.load().persist()
+            if self._held is not None:
+                self._held[1].unpersist()
+            self._held = (version, rows)
+        return self._held[1]
 
     def plan(self, line: str, now: int | None = None, strict: bool = True, **options) -> SearchPlan:
+        """A compiled search line; days begin at local midnight."""
+        options.setdefault("offset", time.localtime(now).tm_gmtoff)
         return parse(line, now=now, strict=strict, **options)
 
     def find(self, line: str, n: int = search.FIND_ROWS, sort: str = "relevance", **options) -> DataFrame:

@@ -10,16 +10,23 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skerry.functions.paths import LOWER, UPPER
 from skerry.plans.language import SearchPlan, Term
 
 
+_CAPITALS = str.maketrans(LOWER, UPPER)
+
+
 def in_folder(folder: str) -> Column:
     """An absolute folder holds itself and what lies below it; any other text is looked for in the parent folders."""
     path = F.col("path_lower")
     if folder == "" or folder.startswith("/") or folder[1:3] in (":\\", ":/"):
         if folder == "":
             return path.startswith("/")
-        return (path == folder) | path.startswith(folder + "/") | path.startswith(folder + "\\")
+        below = (path == folder) | path.startswith(folder + "/") | path.startswith(folder + "\\")
+        # Every spelling of the folder lies between that in capitals and that in small letters. This range on the stored path
+        # reaches the scan, and a catalog sorted by path reads only the row groups that may hold it.
+        return F.col("path").between(folder.translate(_CAPITALS), folder + chr(0x10FFFF)) & below
     return F.col("dir_lower").contains(folder)
 
 

@@ -32,10 +32,15 @@ class CorruptCatalog(ValueError):
     """The folder is no catalog, is of another format version, or misses parts."""
 
 
-def derive(scan: DataFrame) -> DataFrame:
-    """Catalog rows from (path, size, mod, is_dir): missing numbers become 0, names and lower-case twins are added."""
-    rows = scan.select("path", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("mod", F.lit(0)).alias("mod"), F.coalesce("is_dir", F.lit(False)).alias("is_dir"))
-    rows = rows.where(F.col("path").isNotNull() & (F.octet_length("path") <= LONGEST_PATH))
+def derive(scan: DataFrame, stored: bool = False) -> DataFrame:
+    """Catalog rows from (path, size, mod, is_dir): missing numbers become 0, names and lower-case twins are added.
+
+    Rows of a ``stored`` version are clean already; they are left as they are, so that filters reach the scan.
+    """
+    rows = scan.select("path", "size", "mod", "is_dir")
+    if not stored:
+        rows = scan.select("path", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("mod", F.lit(0)).alias("mod"), F.coalesce("is_dir", F.lit(False)).alias("is_dir"))
+        rows = rows.where(F.col("path").isNotNull() & (F.octet_length("path") <= LONGEST_PATH))
     path = F.col("path")
     return rows.select(
         "*",
@@ -194,7 +199,7 @@ class CatalogStore:
         """Write the next version as a base, then point to it."""
         version = self._next()
         data = f"{self.folder}/v{version:08d}-{uuid.uuid4().hex[:8]}"
-        rows = catalog.select("path", "size", "mod", "is_dir")
+        rows = derive(catalog).select("path", "size", "mod", "is_dir")
         (rows.repartitionByRange(F.col("path")).sortWithinPartitions("path").write.option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").mode("errorifexists").parquet(data))
         self._point({"version": version, "data": data, "deltas": [], "created": int(time.time()) if created is None else created, "roots": list(roots), "excludes": list(excludes)})
         return version
@@ -203,7 +208,8 @@ class CatalogStore:
         """Write a change batch (op, path, size, mod, is_dir) beside the base and point to both; the base is not touched."""
         meta = self._pointer()
         data = f"{self.folder}/d{self._next():08d}-{uuid.uuid4().hex[:8]}"
-        ops.select("op", "path", "size", "mod", "is_dir").coalesce(1).write.mode("errorifexists").parquet(data)
+        zero = {"size": F.lit(0), "mod": F.lit(0), "is_dir": F.lit(False)}
+        ops.select("op", "path", *[F.coalesce(c, v).alias(c) for c, v in zero.items()]).where(F.octet_length("path") <= LONGEST_PATH).coalesce(1).write.mode("errorifexists").parquet(data)
         version = self._next()
         self._point({**meta, "version": version, "deltas": [*meta.get("deltas", []), data], "created": int(time.time()) if created is None else created})
         if len(meta.get("deltas", [])) + 1 > MOST_DELTAS or self._bytes(self._pointer()["deltas"]) > max(DELTA_BYTES, self._bytes([meta["data"]]) // DELTA_PART):
@@ -250,11 +256,11 @@ class CatalogStore:
                 raise CorruptCatalog(f"{part}: incomplete")
         base = self.spark.read.schema(SCAN_SCHEMA).parquet(meta["data"])
         if not meta.get("deltas"):
-            return derive(base)
+            return derive(base, stored=True)
         from skerry.operators.changes import OPS, apply_ops
 
         batches = [self.spark.read.schema(OPS).parquet(d).withColumn("seq", F.lit(i)) for i, d in enumerate(meta["deltas"], 1)]
-        return derive(apply_ops(base, reduce(DataFrame.unionByName, batches)))
+        return derive(apply_ops(base, reduce(DataFrame.unionByName, batches)), stored=True)
 
     def age(self, now: int | None = None) -> int:
         return (int(time.time()) if now is None else now) - self._pointer()["created"]
