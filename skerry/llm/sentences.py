@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,6 +47,8 @@ _PAIRS = re.compile(r"(?<![\w.])\"(?=[^\s\"])[^\"]*?\"|“[^“”]*+[“”]|
 _QUOTES = re.compile("[\"“„«「『‘(（【\\[]")
 _CLOSERS = "\"”’»)）」』】]“*_"
 _END = re.compile(r"[.!?…。！？｡।॥؟۔]+|(?<=[฀-๿])[ \t\xa0 \r\n]+(?=[฀-๿])|(?<=[฀-๿])[ \t\xa0 \r\n]+(?=[A-Z][a-z]+ [a-z])")
+_MARKS = re.compile(r"[.!?…。！？｡।॥؟۔]+")  # all of `_END` in a block without Thai letters
+_THAI = re.compile("[\u0e00-\u0e7f]")
 _WIDE = set("。！？｡।॥؟۔")
 _BEFORE = re.compile(r"[^\s(\[\"“„«]+$")
 _ABBREVIATED = re.compile(r"(?:[^\W\d_]\.)*([^\W\d_]+)$")
@@ -54,10 +57,21 @@ _GLUED = re.compile(r"[^\W\d_a-zà-ÿа-яё][^\W\d_A-ZÀ-ÞА-ЯЁ]|[A-ZÀ-Þ][
 _NEXT_WORD = re.compile(r"[^\W\d_]+")
 
 
-_PERIOD_WORD = re.compile(r"(?:(?<=[\s(\[\"„«“.])|^)([^\W\d_]+)\.(?:[)\"”»]?(?=\s+([a-zà-ÿ]+[A-Z]|\w))|,)")
+_PERIOD = re.compile(r"\.(?:[)\"”»]?(?=\s+([a-zà-ÿ]+[A-Z]|\w))|,)")
+_OPENERS = set(" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000([\"„«“.")
 _LOWER_WORD = re.compile(r"(?<![^\W_])[^\W\d_A-ZÀ-ÞА-ЯЁ]+(?![^\W_])")
 
 
+def period_words(text: str) -> Iterator[tuple[str, str]]:
+    """(word, what follows) of the words before a period that is followed by a blank or a comma; the search starts at the periods."""
+    for m in _PERIOD.finditer(text):
+        end = at = m.start()
+        while at and (c := text[at - 1]).isalnum() and not c.isdecimal():
+            at -= 1
+        if at < end and (not at or text[at - 1] in _OPENERS):
+            yield text[at:end], m[1] or ""
+
+
 class Evidence:
     """What one document and the corpus say about words with periods."""
 
@@ -76,7 +90,7 @@ class Evidence:
     def _abbreviation(self, word: str) -> bool:
         if self.counts is None:
             self.counts = {}
-            for w, c in _PERIOD_WORD.findall(self.text):
+            for w, c in period_words(self.text):
                 n = self.counts.setdefault(w, [0, 0])
                 if len(c) < 2 and not (c.isdigit() and len(w) > 4):
                     n[0 if not c or c.islower() or c.isdigit() else 1] += 1
@@ -180,8 +194,8 @@ def sentences_of(block: str, evidence: Evidence) -> list[tuple[int, int]]:
             out.append((a, b))
         begin = end
 
-    at = 0
-    while m := _END.search(block, at):
+    at, ends = 0, _END if not block.isascii() and _THAI.search(block) else _MARKS
+    while m := ends.search(block, at):
         p, q = m.span()
         while k < len(spans) and spans[k][1] <= p:
             k += 1
@@ -282,7 +296,7 @@ def units_of(text: str | None, corpus: dict[str, tuple[int, int]]) -> list[tuple
 def _count_periods(batch: pa.RecordBatch) -> list[list]:
     low, every = Counter(), Counter()
     for text in batch.column(0).to_pylist():
-        for w, c in _PERIOD_WORD.findall(text):
+        for w, c in period_words(text):
             if len(c) < 2 and not (c.isdigit() and len(w) > 4):
                 every[w] += 1
                 low[w] += not c or c.islower() or c.isdigit()
