@@ -5,9 +5,11 @@ from __future__ import annotations
 import sys
 import threading
 import time
+import uuid
 from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -110,6 +112,25 @@ class Engine:
         files = files.observe(self.scanned, F.count("content").alias("files"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"))
         return grep_ops.grep(files.select("path", text_of_bytes(F.col("content")).alias("text")), matcher, n)
 
+    def hits(self, line: str, regex: bool = False, n: int = grep_ops.GREP_ROWS, batch: int = 200, **options) -> Iterator[list[Row]]:
+        """Content hits in batches while the search goes on; a caller that stops taking them ends its jobs."""
+        tag = f"skerry-grep-{uuid.uuid4().hex}"
+        self.spark.addTag(tag)
+        held: list[Row] = []
+        try:
+            for row in self.grep(line, regex, n, **options).toLocalIterator(prefetchPartitions=True):
+                held.append(row)
+                if len(held) >= batch:
+                    yield held
+                    held = []
+            if held:
+                yield held
+        except GeneratorExit:
+            self.spark.interruptTag(tag)
+            raise
+        finally:
+            self.spark.removeTag(tag)
+
     def stats(self) -> DataFrame:
         """(files, dirs, bytes, path_bytes, index_bytes, age, roots, excludes) of the current version."""
         meta = self.store.metadata()

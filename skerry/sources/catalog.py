@@ -266,8 +266,10 @@ class CatalogStore:
         return (int(time.time()) if now is None else now) - self._pointer()["created"]
 
     def compact(self) -> int:
-        """Rewrite the current version as one sorted base."""
+        """Rewrite the current version as one sorted base; a base without batches is in order already and stays."""
         meta = self._pointer()
+        if not meta.get("deltas"):
+            return meta["version"]
         return self.save(self.load(), meta["roots"], meta["excludes"], meta["created"])
 
     def vacuum(self, keep: int = 2) -> int:

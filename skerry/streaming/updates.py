@@ -23,6 +23,9 @@ from skerry.sources.catalog import CatalogStore, CorruptCatalog
 NOTICES = "seq bigint, path string, arrival_ts timestamp"
 #: A batch of more paths than this costs more than building the catalog anew.
 REBUILD_AT = 200_000
+#: How often timers are looked at; the state store that timers need.
+TICK_MS = 250
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: A catalog older than this is rebuilt at the start; without live notices it is rebuilt at these intervals.
 STALE_SECONDS, POLL_SECONDS = 30 * 60, 10 * 60
 
@@ -146,11 +149,17 @@ class Updater:
             self.start_rebuild()
 
     def start(self, notices: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
-        """Consume a stream of notices; a stale catalog is rebuilt first, and a trigger collects what arrives within the longest debounce."""
+        """Consume a stream of notices in the batches of ``Debounce``; a stale catalog is rebuilt first.
+
+        With ``once`` all that is present is one batch, as timers do not run on in a stream that ends.
+        """
         if self.stale():
             self.start_rebuild()
-        writer = notices.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint)
-        return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{DEBOUNCE_MOST_MS // 1000} seconds")).start()
+        if once:
+            return notices.writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        spark = notices.sparkSession
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+        return debounced(notices).writeStream.foreachBatch(self.batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{TICK_MS} milliseconds").start()
 
 
 class Debounce(StatefulProcessor):
@@ -168,10 +177,12 @@ class Debounce(StatefulProcessor):
         self.first = handle.getValueState("first", StructType([StructField("ms", LongType()), StructField("paths", LongType())]))
         self.pending = handle.getMapState("pending", StructType([StructField("path", StringType())]), StructType([StructField("n", LongType())]))
 
-    def handleInputRows(self, key, rows, timer_values):  # noqa: N802
-        now = timer_values.getCurrentProcessingTimeInMs()
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        now = timerValues.getCurrentProcessingTimeInMs()
         first, paths = self.first.get() if self.first.exists() else (now, 0)
         for pdf in rows:
+            if "overflow" in pdf and pdf["overflow"].any():
+                paths = self.most_paths + 1
             for path, n in pdf["path"].value_counts().items():
                 if paths > self.most_paths:
                     break
@@ -184,7 +195,7 @@ class Debounce(StatefulProcessor):
         self.handle.registerTimer(min(now + self.quiet, first + self.most))
         return iter(())
 
-    def handleExpiredTimer(self, key, timer_values, expired):  # noqa: N802
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         import pandas as pd
 
         first, paths = self.first.get()
@@ -203,7 +214,9 @@ class Debounce(StatefulProcessor):
 def debounced(notices: DataFrame, catalog: str = "") -> DataFrame:
     """(batch_ms, path, n, overflow) of a stream of notices of one catalog; batches are those of ``Debounce``."""
     out = StructType([StructField("batch_ms", LongType()), StructField("path", StringType()), StructField("n", LongType()), StructField("overflow", BooleanType())])
-    return notices.where("path is not null").groupBy(F.lit(catalog).alias("catalog")).transformWithStateInPandas(Debounce(), out, "Append", "ProcessingTime")
+    lost = F.coalesce("overflow", F.lit(False)) if "overflow" in notices.columns else F.lit(False)
+    rows = notices.select("path", lost.alias("overflow"), F.lit(catalog).alias("catalog")).where("path is not null or overflow")
+    return rows.groupBy("catalog").transformWithStateInPandas(Debounce(), out, "Append", "ProcessingTime")
 
 
 def notice_stream(spark: SparkSession, folder: str, schema: str = NOTICES) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skerry.engine import Engine, main
 from skerry.operators.snapshots import snapshot_changes
-from skerry.sources.catalog import CatalogStore, CorruptCatalog, _Reader, build_catalog
+from skerry.sources.catalog import CatalogStore, CorruptCatalog, _Reader, build_catalog, derive
 from skerry.streaming.updates import Updater, notice_stream
 
 SCHEMA = "snap_id int, path string, size bigint, mod bigint, is_dir boolean, seen_ts timestamp"
@@ -51,6 +51,9 @@ def test_content_search_opens_only_candidates(spark, tree, tmp_path):
     hits = engine.grep("todo .go").collect()
     assert [os.path.basename(r.path) for r in hits] == ["tui.go"]
     assert engine.scanned.get == {"files": 2, "bytes": len(b"package main\n// TODO render\n")}
+    assert [[os.path.basename(r.path) for r in b] for b in engine.hits("todo", batch=1)] == [["README.md"], ["tui.go"]]
+    some = engine.hits("todo", batch=1)
+    assert next(some)[0].line == 1 and some.close() is None
     os.unlink(tree + "/src/ui/tui.go")
     assert engine.grep("todo .go").collect() == [] and engine.scanned.get["files"] == 1
     row = engine.stats().first()
@@ -100,7 +103,9 @@ def test_versions(spark, tmp_path):
     assert store.save(one.where("path = '/b'"), roots=["/"]) == 2
     assert sorted(r.path for r in first.collect()) == ["/a", "/b"]
     assert [r.path for r in store.load().collect()] == ["/b"]
-    assert store.compact() == 3 and store.vacuum(1) == 2 and store.load().count() == 1
+    assert store.compact() == 2 and store.publish(one.selectExpr("'put' as op", "*").where("path = '/a'")) == 3 and store.load().count() == 2
+    assert store.compact() == 4 and store.vacuum(1) == 3 and store.load().count() == 2 and store.metadata()["roots"] == ["/"]
+    assert derive(spark.createDataFrame([("/" + "ä" * 32_767, 1, 1, False), ("/" + "ä" * 32_768, 1, 1, False)], one.schema)).count() == 1
     (tmp_path / "v" / "CURRENT").write_text("junk")
     with pytest.raises(CorruptCatalog):
         store.load()

@@ -13,7 +13,7 @@ from skerry.plans.language import parse
 from skerry.session import Page, Previews, Typing, reference
 from skerry.sources.catalog import CatalogStore, build_catalog, derive
 from skerry.sources.watch import _Watcher, watch
-from skerry.streaming.updates import Debounce, Updater
+from skerry.streaming.updates import Debounce, Updater, notice_stream
 
 
 def test_watch_folder_to_catalog(spark, tmp_path):
@@ -224,6 +224,24 @@ def test_batches_are_published_beside_the_base(spark, tmp_path):
     assert store.vacuum(1) == 5 and store.load().count() == len(want)
 
 
+def test_a_stream_is_debounced_into_batches(spark, tmp_path):
+    store = CatalogStore(spark, str(tmp_path / "cat"))
+    store.save(spark.createDataFrame([("/r", 0, 1, True), ("/r/a", 1, 1, False)], FILES))
+    state = spark.createDataFrame([("/r", 0, 1, True), ("/r/a", 7, 1, False), ("/r/b", 2, 2, False)], FILES)
+    notice = lambda *paths: spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "seq bigint, path string").withColumn("arrival_ts", F.current_timestamp()).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    notice("/r/a", "/r/a", "/r/b", None)
+    updater = Updater(store, lambda: state, lambda: state)
+    query = updater.start(notice_stream(spark, str(tmp_path / "in")), str(tmp_path / "ck"))
+    try:
+        for _ in range(900):
+            if updater.applied or not query.isActive:
+                break
+            time.sleep(0.1)
+    finally:
+        query.stop()
+    assert updater.applied == 1 and sorted((r.path, r.size) for r in store.load().collect()) == [("/r", 0), ("/r/a", 7), ("/r/b", 2)]
+
+
 def test_a_large_difference_is_an_overflow(spark, tmp_path):
     root = tmp_path / "r"
     root.mkdir()
