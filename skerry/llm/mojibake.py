@@ -46,6 +46,8 @@ GAIN_UTF8, GAIN_OTHER, GAIN_SINGLE = 0.7, 2.2, 3.0
 SCATTERED = 3
 #: Least gain for a run outside the improbable segments, and its least length.
 GAIN_FREQUENT, FREQUENT = 3.0, 2
+#: Pairs whose figures a task keeps at hand.
+MOST_KNOWN = 500_000
 #: Minus the information of a pair with a lost character, which no text holds rightly.
 LOST_BITS = 20.0
 #: Share of a run's bytes that must form valid UTF-8 where the run was cut or lost characters.
@@ -172,6 +174,7 @@ class PairModel:
         self.floor = max(0.5, RARE * self.total)
         self.log = np.log((self.pair + 0.02 * self.floor) / self.floor)
         self.memo: dict[tuple[str, str], float] = {}
+        self.logs: dict[tuple[str, str], float] = {}
 
     def information(self, a: str, b: str) -> float:
         """Mutual information of a pair, smoothed so that unsupported pairs fall below zero."""
@@ -186,7 +189,15 @@ class PairModel:
 
     def support(self, pairs: list[tuple[str, str]]) -> float:
         """Mean log frequency of pairs, in units of the rarity floor."""
-        return sum(self.log[pair_slot(a, b)] for a, b in pairs) / len(pairs) if pairs else -9.0
+        known, total = self.logs, 0.0
+        for p in pairs:
+            got = known.get(p)
+            if got is None:
+                if len(known) > MOST_KNOWN:
+                    known.clear()
+                got = known[p] = float(self.log[pair_slot(*p)])
+            total += got
+        return total / len(pairs) if pairs else -9.0
 
 
 def improbable_segments(text: str, model: PairModel) -> list[tuple[int, int]]:
@@ -397,5 +408,25 @@ def p4_restored(spark, sf_dir):
     return wrongly_decoded(_rows(spark, sf_dir))
 
 
-QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored}
-ORACLE: dict[str, str] = {}
+def p4_lost(spark, sf_dir):
+    """Every record with a replacement character or a C1 control, and whether it is found."""
+    rows = _rows(spark, sf_dir)
+    lost = rows.where(F.col("text").rlike("[\\x{80}-\\x{9f}\\x{fffd}]")).select("src", "rec_id")
+    found = wrongly_decoded(rows).select("src", "rec_id", F.lit(True).alias("found")).distinct()
+    return lost.join(found, ["src", "rec_id"], "left").select("src", "rec_id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def p4_plain(spark, sf_dir):
+    """Every record without a text or with an ASCII text, and whether it is left alone."""
+    rows = _rows(spark, sf_dir)
+    plain = rows.where(F.col("text").isNull() | (F.octet_length("text") == F.char_length("text"))).select("src", "rec_id")
+    found = wrongly_decoded(rows).select("src", "rec_id", F.lit(False).alias("spared")).distinct()
+    return plain.join(found, ["src", "rec_id"], "left").select("src", "rec_id", F.coalesce("spared", F.lit(True)).alias("spared"))
+
+
+_ROWS_SQL = "(select 'content_hits' as src, hit_id as rec_id, text from content_hits union all select 'raw_entries', raw_id, path from raw_entries)"
+QUERIES = {f.__name__: f for f in (p4_found, p4_restored, p4_lost, p4_plain)}
+ORACLE = {
+    "p4_lost": f"select src, rec_id, true as found from {_ROWS_SQL} where regexp_matches(text, '[\\x{{80}}-\\x{{9f}}\\x{{fffd}}]')",
+    "p4_plain": f"select src, rec_id, true as spared from {_ROWS_SQL} where text is null or strlen(text) = length(text)",
+}
