@@ -454,6 +454,16 @@ def _(spark, sf_dir):
     return changes.classify(notices, old, now).select("path", "effect")
 
 
+_LEFT_OUT = ("src", "lib", "docs", "archive", "old", "music", "photos")
+
+
+@query("j6_excluded", _CHANGES + f"select path, effect from k where len(list_filter(regexp_split_to_array(lower(path), '[\\\\/]'), lambda p: p in {_LEFT_OUT})) = 0")
+def _(spark, sf_dir):
+    """Notices below an excluded folder, in any letter case, change nothing."""
+    old, notices, now = _state(spark, sf_dir)
+    return changes.classify(notices, old, now, _LEFT_OUT).select("path", "effect")
+
+
 @query("j3_self_remove", _CHANGES + "select path from old where path not in (select path from ch)")
 def _(spark, sf_dir):
     old, notices, _now = _state(spark, sf_dir)
