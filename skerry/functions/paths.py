@@ -28,7 +28,6 @@ def dir_of(path: Column) -> Column:
     return F.substring(path, F.lit(1), F.char_length(path) - F.char_length(name_of(path)))
 
 
-def extension_of(name: Column) -> Column:
-    """Lower-cased text after the last dot of a name; empty if the dot is first, last or absent."""
-    ext = F.substring_index(name, ".", -1)
-    return F.when((ext != "") & (F.char_length(ext) < F.char_length(name) - 1), F.lower(ext)).otherwise(F.when(name.isNotNull(), ""))
+def extension_of(path: Column) -> Column:
+    """Lower-cased text after the last dot of the name of a path; empty if the dot is the first or last of the name, or absent."""
+    return F.lower(F.regexp_extract(path, r"[^\\/]\.([^.\\/]+)$", 1))

@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from skerry.functions import display
@@ -141,6 +142,10 @@ _match("f8_month", "month", f"mod >= {NOW - 30 * 86400}")
 _match("q14_kind_image", "is:images", "not is_dir and (ext in ('" + "','".join(KINDS["image"]) + "') or (name like '.%' and lower(substr(name, 2)) in ('" + "','".join(KINDS["image"]) + "')))")
 _match("q_combined", "report .pdf,.md >1kb year /srv", f"not is_dir and size >= 1024 and mod >= {NOW - 365 * 86400} and (ext in ('pdf','md') or lower(substr(name, 2)) in ('pdf','md') and name like '.%') and starts_with(path_lower, '/srv/') and regexp_matches(path_lower, '^[^r]*r[^e]*e[^p]*p[^o]*o[^r]*r[^t]*t')")
 
+_match("f7_relative", "in:./srv/Common/", "path_lower = '/srv/common' or starts_with(path_lower, '/srv/common/') or starts_with(path_lower, '/srv/common\\')")
+_match("f7_together", "is:file >1kb <3y .md,.txt,.pdf /srv", f"not is_dir and size >= 1024 and mod >= {NOW - 3 * 365 * 86400} and (ext in ('md', 'txt', 'pdf') or name like '.%' and lower(substr(name, 2)) in ('md', 'txt', 'pdf')) and starts_with(path_lower, '/srv/')")
+_match("f8_today", "today", f"mod >= {NOW // 86400 * 86400}")
+
 # ---------- text words
 
 _match("t1_not", "!archive", "not contains(path_lower, 'archive')")
@@ -171,6 +176,23 @@ _rank("o2_largest", "is:file", "not is_dir", "size", 50, "largest")
 _rank("o2_no_terms", ".go", "ext = 'go' and not is_dir", "mod", 50)
 
 
+@query("o5_defaults", top_sql(DOCUMENTS_SQL, "true", f"({fuzzy_term_sql('doc')}).p - {_LEN}", 50))
+def _(spark, sf_dir):
+    return search.find(trees.documents(spark, sf_dir), plan("doc"))
+
+
+@query("k5_pick", "select path from (" + top_sql(DOCUMENTS_SQL, "ext = 'md' and not is_dir", f"({fuzzy_term_sql('doc')}).p - {_LEN}", 1) + ")")
+def _(spark, sf_dir):
+    return search.find(trees.documents(spark, sf_dir), plan("doc .md"), 1).select("path")
+
+
+@query("k3_find", "with f as (" + top_sql(LATEST_SQL, "not is_dir and ext = 'go'", "mod", 50) + f") select path, rank, (select count(*) from {LATEST_SQL} where not is_dir and (ext = 'go' or name = '.go')) as total from f")
+def _(spark, sf_dir):
+    """The rows that the command prints, and the total it reports beside them."""
+    entries, p = trees.snapshot(spark, sf_dir), plan(".go")
+    return search.find(entries, p, sort="newest").select("path", "rank").crossJoin(F.broadcast(search.total(entries, p)))  # one row
+
+
 @query("o4_total", f"select count(*) as total from {LATEST_SQL} where not is_dir and size >= 1048576")
 def _(spark, sf_dir):
     return search.total(trees.snapshot(spark, sf_dir), plan(">1mb"))
@@ -326,6 +348,25 @@ def _(spark, sf_dir):
     return trees.contents(spark, sf_dir).select("path", display.valid_utf8(F.substring(F.encode("text", "utf-8"), F.lit(1), F.lit(101))).alias("cut"))
 
 
+_Q9 = "regexp_extract(raw, '^The [a-z]+')"
+
+
+@query("q9_marks_in_patterns", grep_sql(f"instr(raw, {_Q9}) - 1", _Q9, f"{_Q9} <> ''", None, None))
+def _(spark, sf_dir):
+    """A text word keeps its mark in the pattern of a content search."""
+    return grep.grep(trees.contents(spark, sf_dir), grep.Matcher(plan("^The [a-z]+").pattern, regex=True), None, None)
+
+
+@query("a5_counters", f"select count(*) as files, count(*) filter (contains(text, 'Roughly')) as files_with_hits, cast(sum(len(list_filter(string_split(text, chr(10)), lambda l: contains(l, 'Roughly')))) as bigint) as hits from {CONTENTS_SQL}")
+def _(spark, sf_dir):
+    """What a content search has read and found, from the metrics of its own run."""
+    read, found = Observation(), Observation()
+    files = trees.contents(spark, sf_dir).observe(read, F.count(F.lit(1)).alias("files"))
+    hits = grep.grep(files, grep.Matcher("Roughly"), None, None).observe(found, F.count(F.lit(1)).alias("hits"))
+    with_hits = hits.select("path").distinct().count()
+    return spark.createDataFrame([(read.get["files"], with_hits, found.get["hits"])], "files bigint, files_with_hits bigint, hits bigint")
+
+
 @query("g2_candidates", f"select path from {LATEST_SQL} where not is_dir and size between 1 and 16777216 and ext not in ('" + "','".join(grep.BINARY_EXTENSIONS) + "') and contains(dir_lower, 'src')")
 def _(spark, sf_dir):
     return grep.candidates(trees.snapshot(spark, sf_dir), plan("in:src")).select("path")
@@ -496,6 +537,39 @@ def _(spark, sf_dir):
     return changes.apply_changes(old, notices, now)
 
 
+_CATALOG = ["path", "size", "mod", "is_dir"]
+
+
+@query("u1_publish", ORACLE["j8_apply_changes"])
+def _(spark, sf_dir):
+    """The change batch published beside its base, as a reader sees both."""
+    old, notices, now = _state(spark, sf_dir)
+    store = CatalogStore(spark, f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}")
+    store.save(old, roots=["/"], created=NOW)
+    store.publish(changes.change_ops(store.load(), notices, now), created=NOW)
+    return store.load().select(*_CATALOG)
+
+
+@query("u2_readers_keep_their_version", f"select path, size, mod, is_dir from {BEFORE_SQL}")
+def _(spark, sf_dir):
+    """What a reader sees that opened a catalog before the next version was saved and the batch published."""
+    old, notices, now = _state(spark, sf_dir)
+    store = CatalogStore(spark, f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}")
+    store.save(old, roots=["/"], created=NOW)
+    reader = store.load().select(*_CATALOG)
+    store.publish(changes.change_ops(reader, notices, now), created=NOW)
+    store.save(now, roots=["/"], created=NOW)
+    return reader
+
+
+@query("u5_accepted", f"select distinct path from path_changes where path is not null and not starts_with(lower(path), '/srv/common') and len(list_filter(regexp_split_to_array(lower(path), '[\\\\/]'), lambda p: p in {_LEFT_OUT})) = 0")
+def _(spark, sf_dir):
+    from skerry.streaming.updates import accepted
+
+    notices = table(spark, sf_dir, "path_changes").select("path", F.lit(False).alias("lost"))
+    return accepted(notices, "/SRV/common", _LEFT_OUT).select("path").distinct()
+
+
 @query(
     "u4_debounce",
     """with recursive e as (select path, epoch_us(arrival_ts) // 1000 as ms from path_changes where path is not null and arrival_ts is not null),

@@ -50,7 +50,7 @@ def derive(scan: DataFrame, stored: bool = False) -> DataFrame:
         ascii_lower(dir_of(path)).alias("dir_lower"),
         base_offset(path).alias("base_off"),
         F.octet_length(path).alias("path_len"),
-        extension_of(name_of(path)).alias("ext"),
+        extension_of(path).alias("ext"),
     )
 
 

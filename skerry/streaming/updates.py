@@ -18,7 +18,7 @@ from pyspark.sql.types import BooleanType, LongType, StringType, StructField, St
 
 from skerry.operators.changes import DEBOUNCE_MOST_MS, DEBOUNCE_QUIET_MS, change_ops
 from skerry.runtime import cut, shared_folder
-from skerry.sources.catalog import CatalogStore, CorruptCatalog
+from skerry.sources.catalog import CatalogStore, CorruptCatalog, below_excluded
 
 NOTICES = "seq bigint, path string, arrival_ts timestamp"
 #: A batch of more paths than this costs more than building the catalog anew.
@@ -30,6 +30,14 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 STALE_SECONDS, POLL_SECONDS = 30 * 60, 10 * 60
 
 
+def accepted(notices: DataFrame, own_folder: str = "", excludes: tuple[str, ...] = ()) -> DataFrame:
+    """Notices (path, lost) that concern the catalog: none of its own folder, in any letter case, and none below an excluded name."""
+    concerns = ~below_excluded(F.col("path"), excludes)
+    if own_folder:
+        concerns = concerns & ~F.lower("path").startswith(own_folder.lower())
+    return notices.where(F.col("lost") | (F.col("path").isNotNull() & concerns))
+
+
 @dataclass
 class Updater:
     """Applies batches of notices to a stored catalog.
@@ -66,11 +74,7 @@ class Updater:
         lost = F.col("path").isNull() if "seq" not in notices.columns else F.lit(False)
         if "overflow" in notices.columns:
             lost = F.coalesce("overflow", F.lit(False))
-        # The folder of the catalog itself is left out in any letter case.
-        pending = notices.select("path", lost.alias("lost")).where("path is not null or lost")
-        if self.own_folder:
-            pending = pending.where(F.col("lost") | ~F.lower("path").startswith(self.own_folder.lower()))
-        pending = cut(pending.distinct())
+        pending = cut(accepted(notices.select("path", lost.alias("lost")), self.own_folder, self.excludes).distinct())
         n = pending.limit(REBUILD_AT + 1).count()
         if not n:
             return
