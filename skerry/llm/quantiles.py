@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.functions.paths import extension_of, name_of
+from skerry.functions.paths import extension_of
 from skerry.runtime import broadcast_if_small, cut, table
 
 #: Values below ``2**(MANTISSA + 1)`` have a cell of their own.
@@ -309,7 +309,7 @@ def catalog_values(entries: DataFrame) -> DataFrame:
     is_file = ~F.coalesce("is_dir", F.lit(False))
     size, mod = F.coalesce("size", F.lit(0)), F.coalesce("mod", F.lit(0))
     return entries.where("path is not null").select(
-        "snap_id", "root", extension_of(name_of(F.col("path"))).alias("ext"), F.xxhash64("path").alias("h1"), F.xxhash64(F.lit(1), "path").alias("h2"), "seen_ts",
+        "snap_id", "root", extension_of(F.col("path")).alias("ext"), F.xxhash64("path").alias("h1"), F.xxhash64(F.lit(1), "path").alias("h2"), "seen_ts",
         F.when(is_file & ((size != 0) | (mod != 0)), size).alias("size"), F.when(is_file & (mod != 0), mod).alias("mod"),
     )
 
