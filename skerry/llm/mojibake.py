@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -62,6 +63,7 @@ RUN = re.compile(r"[^\x00-\x7f]+")
 PHRASE = re.compile(r"[^\x00-\x7f]+(?: ?[^\x00-\x7f]+)*")
 #: A run in which single ASCII characters stand between: second bytes of a double-byte encoding.
 MIXED = re.compile(r"[^\x00-\x7f](?:[@-~]?[^\x00-\x7f])*+[@-~]?")
+_DIGIT, _ASCII = re.compile(r"\d"), re.compile("[\x00-\x7f]")
 LOST = re.compile("[\x80-\x9f�]")
 
 
@@ -135,7 +137,7 @@ def margin(ch: str) -> int:
 
 def pairs_of(text: str) -> list[tuple[str, str]]:
     """Adjacent pairs with a non-ASCII member; the text is framed by spaces, digits count alike."""
-    framed = " " + re.sub(r"\d", "0", text) + " "
+    framed = " " + _DIGIT.sub("0", text) + " "
     return [(a, b) for a, b in zip(framed, framed[1:]) if a > "\x7f" or b > "\x7f"]
 
 
@@ -183,6 +185,8 @@ class PairModel:
             got = self.memo[a, b] = -LOST_BITS
         if got is None:
             n = int(self.pair[pair_slot(a, b)])
+            if len(self.memo) > MOST_KNOWN:
+                self.memo.clear()
             expected = int(self.left[margin(a)]) * int(self.right[margin(b)]) / self.total
             got = self.memo[a, b] = math.log((n + 0.01 * self.floor) / (expected + self.floor))
         return got
@@ -200,25 +204,43 @@ class PairModel:
         return total / len(pairs) if pairs else -9.0
 
 
+def _plain_score(text: str) -> float:
+    """The score of the pairs of an ASCII stretch: each costs half a point at a blank, three points elsewhere."""
+    pairs = len(text) - 1
+    if pairs < 1:
+        return 0.0
+    if "  " in text:
+        blank = sum(a == " " or b == " " for a, b in zip(text, text[1:]))
+    else:
+        blank = 2 * text.count(" ") - (text[0] == " ") - (text[-1] == " ")
+    return -0.5 * blank - 3.0 * (pairs - blank)
+
+
 def improbable_segments(text: str, model: PairModel) -> list[tuple[int, int]]:
     """All maximum-scoring segments (character spans) of improbable pairs, in one pass over the text."""
     stack: list[list[float]] = []  # start, end, sum before, sum after
-    total, framed = 0.0, " " + re.sub(r"\d", "0", text) + " "
-    for i, (a, b) in enumerate(zip(framed, framed[1:])):
-        s = TAU - model.information(a, b) if a > "\x7f" or b > "\x7f" else -0.5 if a == " " or b == " " else -3.0
-        before, total = total, total + s
-        if s <= 0:
-            continue
-        seg = [i, i + 1, before, total]
-        while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= seg[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= seg[3]:
-                stack.append(seg)
-                break
-            seg = [stack[j][0], seg[1], stack[j][2], seg[3]]
-            del stack[j:]
+    total, framed, at, known = 0.0, " " + _DIGIT.sub("0", text) + " ", 0, model.memo
+    for m in RUN.finditer(framed):
+        first, last = m.span()
+        total += _plain_score(framed[at:first])
+        at = last
+        for i in range(first - 1, last):
+            a, b = framed[i], framed[i + 1]
+            got = known.get((a, b))
+            before, s = total, TAU - (model.information(a, b) if got is None else got)
+            total += s
+            if s <= 0:
+                continue
+            seg = [i, i + 1, before, total]
+            while True:
+                j = len(stack) - 1
+                while j >= 0 and stack[j][2] >= seg[2]:
+                    j -= 1
+                if j < 0 or stack[j][3] >= seg[3]:
+                    stack.append(seg)
+                    break
+                seg = [stack[j][0], seg[1], stack[j][2], seg[3]]
+                del stack[j:]
     return [(max(0, int(a) - 1), min(len(text), int(b))) for a, b, *_ in stack]
 
 
@@ -313,36 +335,34 @@ def restore_scattered(runs: list[tuple[str, str, str]], model: PairModel) -> tup
 
 
 def pairs_of_framed(before: str, run: str, after: str) -> list[tuple[str, str]]:
-    framed = before + re.sub(r"\d", "0", run) + after
+    framed = before + _DIGIT.sub("0", run) + after
     return [(a, b) for a, b in zip(framed, framed[1:]) if a > "\x7f" or b > "\x7f"]
 
 
-def repair(text: str, model: PairModel, memo: dict | None = None, frequent: bool = False) -> tuple[str, list[str], bool] | None:
+def repair(text: str, model: PairModel, spans: list[tuple[int, int]], memo: dict, frequent: bool = False) -> tuple[str, list[str], bool] | None:
     """(restored text, mappings used, wholly restored) of an affected text, None if it is not affected.
 
-    ``frequent`` tries the runs outside the improbable segments as well.
+    ``spans`` are its improbable segments; ``frequent`` tries the runs outside them as well.
     """
-    memo = {} if memo is None else memo
-    spans = improbable_segments(text, model)
     hits: list[tuple[int, int, tuple]] = []
     for pattern, restore in ((RUN, restore_run), (MIXED, restore_mixed)) if spans or frequent else ():
         for m in pattern.finditer(text):
             a, b = m.span()
-            if restore is restore_mixed and not any(c < "\x80" for c in m[0]):
+            if restore is restore_mixed and not _ASCII.search(m[0]):
                 continue
-            improbable = any(x < b and a < y for x, y in spans)
-            if not (improbable or frequent and b - a >= FREQUENT) or any(x < b and a < y for x, y, _ in hits):
+            improbable = bool(spans) and any(x < b and a < y for x, y in spans)
+            if not (improbable or frequent and b - a >= FREQUENT) or hits and any(x < b and a < y for x, y, _ in hits):
                 continue
             key = (text[a - 1 : a] or " ", m[0], text[b : b + 1] or " ", restore is restore_run)
             if key not in memo:
                 if len(memo) > 50_000:
                     memo.clear()
-                memo[key] = restore(m[0], *(re.sub(r"\d", "0", x) for x in (key[0], key[2])), model)
+                memo[key] = restore(m[0], *(_DIGIT.sub("0", x) for x in (key[0], key[2])), model)
             if memo[key] and (improbable or memo[key][3] >= GAIN_FREQUENT):
                 hits.append((a, b, memo[key]))
     left = [m for m in RUN.finditer(text) if any(x < m.end() and m.start() < y for x, y in spans) and not any(x < m.end() and m.start() < y for x, y, _ in hits)] if spans else []
     if len({m[0] for m in left}) >= SCATTERED and not any(skeleton(m[0]).isascii() for m in left):
-        frames = [(re.sub(r"\d", "0", text[m.start() - 1 : m.start()] or " "), m[0], re.sub(r"\d", "0", text[m.end() : m.end() + 1] or " ")) for m in left]
+        frames = [(_DIGIT.sub("0", text[m.start() - 1 : m.start()] or " "), m[0], _DIGIT.sub("0", text[m.end() : m.end() + 1] or " ")) for m in left]
         joint = restore_scattered(frames, model)
         if joint:
             hits += [(m.start(), m.end(), (good, joint[1], joint[2])) for m, good in zip(left, joint[0])]
@@ -358,13 +378,46 @@ def repair(text: str, model: PairModel, memo: dict | None = None, frequent: bool
     return None
 
 
-def repair_by_both(text: str, models: tuple[PairModel, PairModel], memos: tuple[dict, dict]) -> tuple[str, list[str], bool] | None:
-    """``repair`` by the model of rows and then, on its result, by that of distinct texts."""
-    first = repair(text, models[0], memos[0])
-    second = repair(first[0] if first else text, models[1], memos[1], frequent=True)
-    if first and second:
-        return second[0], sorted({*first[1], *second[1]}), second[2]
-    return second or first
+class Reader:
+    """Repairs texts by the model of rows and then, on the result, by that of distinct texts.
+
+    A unit is a run with the characters around it. Units of a text that is not affected and has no improbable pair are
+    remembered; a text of such units alone has the same result, as every pair and every run of it has been looked at.
+    """
+
+    def __init__(self, models: tuple[PairModel, PairModel]) -> None:
+        self.models = models
+        self.memos: tuple[dict, dict] = ({}, {})
+        self.clean: set[tuple[str, str, str]] = set()
+
+    def repair(self, text: str) -> tuple[str, list[str], bool] | None:
+        units = {(text[m.start() - 1 : m.start()], m[0], text[m.end() : m.end() + 1]) for m in MIXED.finditer(text)}
+        if units <= self.clean:
+            return None
+        rows, once = self.models
+        spans = improbable_segments(text, rows)
+        first = repair(text, rows, spans, self.memos[0])
+        now = first[0] if first else text
+        left = improbable_segments(now, once)
+        second = repair(now, once, left, self.memos[1], frequent=True)
+        if first and second:
+            return second[0], sorted({*first[1], *second[1]}), second[2]
+        if not (first or second or spans or left):
+            if len(self.clean) > MOST_KNOWN:
+                self.clean.clear()
+            self.clean |= units
+        return second or first
+
+
+_READERS: dict[str, Reader] = {}
+
+
+def _reader(run: str, model) -> Reader:
+    """The reader of one run of the operator; tasks of a worker share it, so what it has learnt is learnt once a worker."""
+    if run not in _READERS:
+        _READERS.clear()
+        _READERS[run] = Reader(model.value)
+    return _READERS[run]
 
 
 def fit_pairs(texts: DataFrame) -> tuple[PairModel, PairModel]:
@@ -379,12 +432,13 @@ def fit_pairs(texts: DataFrame) -> tuple[PairModel, PairModel]:
 def wrongly_decoded(rows: DataFrame) -> DataFrame:
     """(src, rec_id, restored, mappings, complete) of the affected rows of a frame (src, rec_id, text)."""
     model = rows.sparkSession.sparkContext.broadcast(fit_pairs(rows))
-    memos: tuple[dict, dict] = ({}, {})
+    run = uuid.uuid4().hex
 
     def work(batch: pa.RecordBatch) -> list[list]:
         out: list[list] = [[], [], [], [], []]
+        reader = _reader(run, model)
         for src, rec, text in zip(*(c.to_pylist() for c in batch.columns)):
-            hit = repair_by_both(text, model.value, memos)
+            hit = reader.repair(text)
             if hit:
                 for column, value in zip(out, (src, rec, *hit)):
                     column.append(value)
