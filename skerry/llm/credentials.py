@@ -21,6 +21,7 @@ import json
 import re
 from collections.abc import Iterator
 from copy import deepcopy
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 
 from skerry.llm.arrow import text_stage
 from skerry.llm.keypaths import NAME, Leaf, Scopes, byte_offsets, read_text
+from skerry.operators.score import bind
 from skerry.runtime import broadcast_if_small, cut, table
 
 MASK = "***"
@@ -36,7 +38,7 @@ BLOCK_LINES = 1000
 
 # Words of a key name that make it sensitive, alone or joined (fixed values).
 SENSITIVE_WORDS = set("password passwd pwd pw pass passe passphrase passcode secret token credential credentials contraseña contrasena kennwort passwort senha clave parola пароль 密码 パスワード 비밀번호 apikey authtoken accesstoken mdp motdepasse psk".split())
-SENSITIVE_PAIRS = set("apikey accesskey accountkey signingkey secretkey privatekey authkey encryptionkey masterkey storagekey sharedkey clientkey servicekey motdepasse".split())
+SENSITIVE_KEYS = set("api access account signing secret private auth encryption master storage shared client service".split())  # followed by: key
 SENSITIVE_TAILS = ("password", "passwd", "pwd", "pass", "secret", "token", "apikey", "passphrase", "authtoken", "kennwort", "passwort", "contraseña")
 # Words of a key name that say the value describes or refers to a credential (fixed values).
 HARMLESS_WORDS = set("hash hint label title help file path type id public url uri name count length len max min page ttl expiry expires policy field prompt message text placeholder caption digest fingerprint checksum dir folder limit size form reset strength regex pattern salt env var ref tokens passwords".split())
@@ -75,14 +77,26 @@ WORDED = re.compile(
 WORD = re.compile(r"[A-ZÀ-Þ]+(?![a-zà-ÿ])|[A-ZÀ-Þ]?[a-zà-ÿ]+|[^\W\d_A-Za-zÀ-ÿ]+")
 NO_SECRET = re.compile(r"^(?:[\w+.-]+://|[~./\\]|\d[\d.,:/T+-]*Z?$|v?\d+(?:\.\d+)+|[\w.+-]+@[\w-]+\.[\w.]+$|[\w-]+(?:\.[\w-]+)+$|[A-Za-z]+(?:[-_ ][A-Za-z]+)*$|[^\w]+$)")
 CODE = re.compile(r"^[A-Za-z_][\w.]*(?:[(\[{].*|\)?[:,;)\]}]*)$")
-#: A superset of all rules; lines that do not match never reach Python. Java folds case beyond ASCII only with ``u``, and its
-#: ``\s`` is ASCII, so no alternative asks for a space. The two words of a pair may be divided anywhere, by all that `WORD` skips.
-_APART = r"[\p{N}_.\-ß]*"
-HINT = "(?iu)" + "|".join([
-    *sorted({re.escape(w) for w in SENSITIVE_WORDS.union(SENSITIVE_TAILS) if not re.search("pass|pwd|pw|secret|token|cred|key", w)}),
-    "pass", "pw", "secret", "token", "cred", "auth", "login", "identified", "mysql", r"-u\W", *sorted({_APART.join(w[-3:] if w.endswith("key") else w) for w in SENSITIVE_PAIRS}),
-    r"://[^\s:/@\"'`<>|]*:[^\s\"'`<>|]+@", "gh[pousr]_", "github_pat_", "glpat-", "xox", "npm_", "pypi-", "do[opr]_v1_", "hf_", "[sr]k_(?:live|test)_", "aiza", r"sg\.", r"\b[a-z]{2,5}_[a-z0-9]{20}", "akia", "asia", "eyj", "sq0", "shp",
-])
+#: What a text must hold in lower case for any rule to find something; texts without any of it never reach Python. The words
+#: follow from the sensitive names, the rest are the fixed parts of the rules for commands, headers and issued tokens.
+_STEMS = ("pass", "pw", "secret", "token", "cred", "key")
+FRAGMENTS = [
+    *_STEMS, *sorted(w for w in SENSITIVE_WORDS.union(SENSITIVE_TAILS) if not any(x in w for x in _STEMS)),
+    "auth", "login", "identified", "mysql", "-u", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "npm_", "pypi-", "dop_v1_", "dor_v1_", "hf_", "k_live_", "k_test_",
+    "aiza", "sg.", "akia", "asia", "eyj", "sq0", "shp",
+]
+
+
+def hinted(text: Column) -> Column:
+    """True for every text that a rule can find something in, and for some others; plain searches in one lower-case copy."""
+
+    def holds(low: Column) -> Column:
+        fragment = reduce(Column.__or__, [F.contains(low, F.lit(f)) for f in FRAGMENTS])
+        return fragment | (F.contains(low, F.lit("://")) & F.contains(low, F.lit("@"))) | (F.contains(low, F.lit("_")) & low.rlike(r"(?<![a-z0-9_])[a-z]{2,5}_[a-z0-9]{20}"))
+
+    return bind(F.lower(text), holds)
+
+
 BEGIN = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY"
 END = r"-----END [A-Z0-9 ]*PRIVATE KEY"
 
@@ -92,7 +106,9 @@ def sensitive(key: str) -> bool:
     words = [w.lower() for w in WORD.findall(key)]
     if not words or words[-1] in HARMLESS_WORDS or HARMLESS_WORDS.intersection(words[-2:]) or "public" in words:
         return False
-    if words[-1] in SENSITIVE_WORDS or any(a + b in SENSITIVE_PAIRS for a, b in zip(words, words[1:])):
+    if words[-1] in SENSITIVE_WORDS or any(a in SENSITIVE_KEYS and b == "key" for a, b in zip(words, words[1:])):
+        return True
+    if words[-1].endswith("key") and words[-1][:-3] in SENSITIVE_KEYS:
         return True
     return words[-1].endswith(SENSITIVE_TAILS) and words[-1] not in ("compass", "bypass", "trespass", "surpass", "keypass")
 
@@ -342,10 +358,10 @@ def scan_credentials(df: DataFrame, key: str, group: str, line: str, text: str)
     rows = df.select(F.col(key).cast("bigint").alias("key"), F.col(group).alias("file"), F.col(line).cast("int").alias("line"), F.col(text).alias("text"))
     places = broadcast_if_small(cut(spanning_key_places(rows)), 200)
     inside = (F.col("file") == F.col("key_file")) & (block_of(F.col("line")) == F.col("block")) & (F.col("line") > F.col("from")) & (F.col("line") < F.col("to"))
-    hinted = rows.where(F.col("text").rlike(HINT) | F.col("text").contains("PRIVATE KEY")).join(places, inside, "left_anti").select("key", "file", "line", "text")
+    hints = rows.where(hinted(F.col("text"))).join(places, inside, "left_anti").select("key", "file", "line", "text")
     fields = [*_CONTINUED][:5]
     stage = text_stage([(f.name, f.type) for f in fields] + [("file", pa.string()), ("line", pa.int32())], _scan)
-    scanned = cut(hinted.mapInArrow(stage, f"{FOUND}, file string, line int"))
+    scanned = cut(hints.mapInArrow(stage, f"{FOUND}, file string, line int"))
     columns = [f.name for f in fields]
     single = scanned.where("secrets is not null").select(*columns)
     below = continued(rows, scanned.where("file is not null"))
