@@ -3,6 +3,8 @@
 A fuzzy word is a literal at query time, so its walk over the text becomes three regular expressions and one fold: the
 first finds where the word ends earliest, the second (on the reversed text) where it then starts latest, the third
 splits that window into the gaps between matched characters. Positions count characters; gaps, spans and lengths count bytes.
+
+The expression is written as one SQL text, since building it call by call takes longer than a search.
 """
 
 from __future__ import annotations
@@ -37,86 +39,89 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _bonus(original: Column, at: Column) -> Column:
+def quoted(text: str) -> str:
+    """A text as a SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _bonus(original: str, at: str) -> str:
     """Points for a match at a character position: after a separator or at a camel hump."""
-    before, here = F.substring(original, at, F.lit(1)), F.substring(original, at + 1, F.lit(1))
-    hump = here.rlike("[A-Z]") & before.rlike("[a-z]")
-    return F.when(at == 0, AFTER_SEPARATOR).when(F.instr(F.lit(SEPARATORS), before) > 0, AFTER_SEPARATOR).when(hump, CAMEL).otherwise(0)
+    before, here = f"substring({original}, {at}, 1)", f"substring({original}, {at} + 1, 1)"
+    return f"case when {at} = 0 or instr({quoted(SEPARATORS)}, {before}) > 0 then {AFTER_SEPARATOR} when {here} rlike '[A-Z]' and {before} rlike '[a-z]' then {CAMEL} else 0 end"
 
 
-def fuzzy(low: Column, original: Column, text: str) -> Column:
-    """Points of the best window of ``text`` as a subsequence of ``low``; NULL if it is none."""
-    if not text:
-        return F.lit(0)
-    size = len(text.encode())
+def window_patterns(text: str) -> tuple[str, str, str]:
+    """The patterns of the earliest end, of the latest start in the reversed text, and of the gaps between."""
     backward = "(?s)^" + escape(text[-1]) + "".join(f"[^{escape(c)}]*{escape(c)}" for c in reversed(text[:-1]))
     parts = r"(?s)\A" + escape(text[0]) + "".join(f"([^{escape(c)}]*){escape(c)}" for c in text[1:]) + r"\z"
+    return subsequence(text), backward, parts
 
-    def scored(pre: Column, win: Column) -> Column:
-        start = F.char_length(pre) - F.char_length(win)
-        first = F.struct(start.cast("int").alias("at"), (_bonus(original, start) + MATCH).cast("int").alias("points"))
 
-        def step(acc: Column, gap: Column) -> Column:
-            at = acc["at"] + F.char_length(gap) + 1
-            cost = F.when(F.char_length(gap) == 0, CONSECUTIVE).otherwise(-(F.least(F.octet_length(gap), F.lit(GAP_MOST)) + GAP_BASE))
-            return F.struct(at.cast("int").alias("at"), (acc["points"] + MATCH + _bonus(original, at) + cost).cast("int").alias("points"))
+def gaps_of(window: str, text: str) -> str:
+    """The texts between the matched characters of a window."""
+    marks = _MARK.join(f"${i}" for i in range(1, len(text)))
+    return f"split(regexp_replace({window}, {quoted(window_patterns(text)[2])}, {quoted(marks)}), {quoted(_MARK)}, -1)"
 
-        if len(text) == 1:
-            total = first["points"]
-        else:
-            marks = _MARK.join(f"${i}" for i in range(1, len(text)))
-            gaps = F.split(F.regexp_replace(win, parts, marks), _MARK, -1)
-            total = F.aggregate(gaps, first, step)["points"]
-        span = F.octet_length(win)
-        extra = (MATCH + CONSECUTIVE) * (size - len(text))
-        return total + extra + F.when(span == size, SPAN_EXACT).when(span <= 2 * size, SPAN_CLOSE).otherwise(0)
 
-    def windowed(pre: Column) -> Column:
-        return F.when(pre == "", F.lit(None).cast("int")).otherwise(bind(F.reverse(F.regexp_extract(F.reverse(pre), backward, 0)), lambda win: scored(pre, win)))
+def fuzzy_sql(low: str, original: str, text: str) -> str:
+    """Points of the best window of ``text`` as a subsequence of column ``low``; NULL if it is none."""
+    if not text:
+        return "0"
+    size = len(text.encode())
+    forward, backward, _ = window_patterns(text)
+    start = "(char_length(pre) - char_length(win))"
+    first = f"named_struct('at', cast({start} as int), 'points', cast({_bonus(original, start)} + {MATCH} as int))"
+    if len(text) == 1:
+        total = f"{first}.points"
+    else:
+        cost = f"case when gap = '' then {CONSECUTIVE} else -(least(octet_length(gap), {GAP_MOST}) + {GAP_BASE}) end"
+        step = _let("here", "acc.at + char_length(gap) + 1", f"named_struct('at', cast(here as int), 'points', cast(acc.points + {MATCH} + {_bonus(original, 'here')} + {cost} as int))")
+        total = f"aggregate({gaps_of('win', text)}, {first}, (acc, gap) -> {step}, acc -> acc.points)"
+    extra = (MATCH + CONSECUTIVE) * (size - len(text))
+    scored = f"{total} + {extra} + case when octet_length(win) = {size} then {SPAN_EXACT} when octet_length(win) <= {2 * size} then {SPAN_CLOSE} else 0 end"
+    return _let("pre", f"regexp_extract({low}, {quoted(forward)}, 0)", f"case when pre = '' then null else {_let('win', f'reverse(regexp_extract(reverse(pre), {quoted(backward)}, 0))', scored)} end")
 
-    return bind(F.regexp_extract(low, subsequence(text), 0), windowed)
 
+def fuzzy(low: str, original: str, text: str) -> Column:
+    """``fuzzy_sql`` as a column."""
+    return F.expr(fuzzy_sql(low, original, text))
 
-def _term_points(term: Term) -> Column:
-    """(points, in_name) of one text word that the entry satisfies."""
-    name, name_low = F.col("name"), F.col("name_lower")
-    path, path_low = F.col("path"), F.col("path_lower")
-    size, yes = len(term.text.encode()), F.lit(True)
-    whole = F.when(F.octet_length(name) == size, WHOLE_NAME).otherwise(0)
 
-    def out(points: Column, inside: Column) -> Column:
-        return F.struct(points.cast("bigint").alias("points"), inside.alias("inside"))
+def _term_points(term: Term) -> str:
+    """(points, inside) of one text word that the entry satisfies."""
+    size = len(term.text.encode())
+    whole = f"case when octet_length(name) = {size} then {WHOLE_NAME} else 0 end"
+
+    def out(points: str, inside: str) -> str:
+        return f"named_struct('points', cast({points} as bigint), 'inside', {inside})"
 
     match term.kind:
         case "not":
-            return out(F.lit(0), yes)
+            return out("0", "true")
         case "exact":
-            inside = F.octet_length(F.substring(path_low, F.lit(1), F.instr(path_low, term.text) - 1)) >= F.col("base_off")
-            return out(F.lit(MATCH * size) + F.when(inside, IN_NAME).otherwise(0), inside)
+            inside = f"octet_length(substring(path_lower, 1, instr(path_lower, {quoted(term.text)}) - 1)) >= base_off"
+            return out(f"{MATCH * size} + case when {inside} then {IN_NAME} else 0 end", inside)
         case "prefix":
-            return out(F.lit(MATCH * size + PREFIX), yes)
+            return out(str(MATCH * size + PREFIX), "true")
         case "suffix":
-            return out(F.lit(MATCH * size), F.lit(size) <= F.octet_length(name))
+            return out(str(MATCH * size), f"{size} <= octet_length(name)")
         case "name":
-            return out(fuzzy(name_low, name, term.text) + IN_NAME + whole, yes)
-
-    def choose(full: Column, named: Column) -> Column:
-        better = named.isNotNull() & (named + NAME_EDGE >= full)
-        return out(F.when(better, named + NAME_EDGE + whole).otherwise(full), better)
-
-    return bind(fuzzy(path_low, path, term.text), lambda full: bind(fuzzy(name_low, name, term.text), lambda named: choose(full, named)))
+            return out(f"{fuzzy_sql('name_lower', 'name', term.text)} + {IN_NAME} + {whole}", "true")
+    better = f"(named is not null and named + {NAME_EDGE} >= full)"
+    chosen = out(f"case when {better} then named + {NAME_EDGE} + {whole} else full end", better)
+    return _let("full", fuzzy_sql("path_lower", "path", term.text), _let("named", fuzzy_sql("name_lower", "name", term.text), chosen))
 
 
 def relevance(plan: SearchPlan) -> Column:
     """Sum of the points of all words, the bonus for words that all lie in the name, less a step for the path's length."""
-    length = F.floor(F.col("path_len") / LENGTH_STEP).cast("bigint")
+    length = f"cast(floor(path_len / {LENGTH_STEP}) as bigint)"
     if not plan.terms:
-        return -length
-    each = [_term_points(t) for t in plan.terms]
-
-    def total(parts: Column) -> Column:
-        points = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a + x["points"])
-        together = F.forall(parts, lambda x: x["inside"])
-        return points + (F.when(together, ALL_IN_NAME).otherwise(0) if len(each) > 1 else F.lit(0)) - length
-
-    return bind(F.array(*each), total).cast("bigint")
+        return F.expr(f"-{length}")
+    together = f" + case when forall(words, w -> w.inside) then {ALL_IN_NAME} else 0 end" if len(plan.terms) > 1 else ""
+    total = f"aggregate(words, 0L, (sum, w) -> sum + w.points){together} - {length}"
+    return F.expr(f"cast({_let('words', f'array({", ".join(map(_term_points, plan.terms))})', total)} as bigint)")

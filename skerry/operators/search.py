@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.operators.predicates import filters, holds
-from skerry.operators.score import relevance
+from skerry.operators.score import NAME_EDGE, fuzzy, gaps_of, quoted, relevance, window_patterns
 from skerry.plans.language import SearchPlan, Term
 
 SORTS = ("relevance", "newest", "largest")
@@ -67,26 +67,22 @@ def term_offsets(term: Term) -> Column:
             return span(name_at)
         case "suffix":
             return span(F.char_length(path) - size)
-    from skerry.operators.score import NAME_EDGE, fuzzy
 
-    def walk(low: Column, base: Column) -> Column:
-        from skerry.operators.predicates import escape, subsequence
-
-        pre = F.regexp_extract(low, subsequence(term.text), 0)
-        back = "(?s)^" + escape(term.text[-1]) + "".join(f"[^{escape(c)}]*{escape(c)}" for c in reversed(term.text[:-1]))
-        win = F.reverse(F.regexp_extract(F.reverse(pre), back, 0))
+    def walk(low: str, base: Column) -> Column:
+        forward, backward, _ = window_patterns(term.text)
+        pre = F.regexp_extract(low, forward, 0)
+        win = F.reverse(F.regexp_extract(F.reverse(pre), backward, 0))
         start = base + F.char_length(pre) - F.char_length(win)
         if size == 1:
             return F.array(start)
-        parts = r"(?s)\A" + escape(term.text[0]) + "".join(f"([^{escape(c)}]*){escape(c)}" for c in term.text[1:]) + r"\z"
-        gaps = F.split(F.regexp_replace(win, parts, "\x01".join(f"${i}" for i in range(1, size))), "\x01", -1)
-        return F.aggregate(gaps, F.array(start), lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(g) + 1)))
+        window = f"reverse(regexp_extract(reverse(regexp_extract({low}, {quoted(forward)}, 0)), {quoted(backward)}, 0))"
+        return F.aggregate(F.expr(gaps_of(window, term.text)), F.array(start), lambda acc, g: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(g) + 1)))
 
-    in_name = walk(F.col("name_lower"), name_at)
+    in_name = walk("name_lower", name_at)
     if term.kind == "name":
         return in_name
-    named, full = fuzzy(F.col("name_lower"), F.col("name"), term.text), fuzzy(path, F.col("path"), term.text)
-    return F.when(named.isNotNull() & (named + NAME_EDGE >= full), in_name).otherwise(walk(path, F.lit(0)))
+    named, full = fuzzy("name_lower", "name", term.text), fuzzy("path_lower", "path", term.text)
+    return F.when(named.isNotNull() & (named + NAME_EDGE >= full), in_name).otherwise(walk("path_lower", F.lit(0)))
 
 
 def match_positions(plan: SearchPlan) -> Column:

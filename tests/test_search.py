@@ -69,10 +69,10 @@ def walk(low, text, original):
 
 def test_fuzzy_equals_plain_loops(spark):
     rng = random.Random(5)
-    texts = ["".join(rng.choice("abAB/_. (z") for _ in range(rng.randint(0, 24))) for _ in range(400)]
+    texts = ["".join(rng.choice("abAB/_. (z'\\$%") for _ in range(rng.randint(0, 24))) for _ in range(400)]
     df = spark.createDataFrame([(t, t.lower()) for t in texts], "o string, low string").cache()
-    for pattern in ("a", "ab", "aba", "a.b", "zz", "ba(", "abab"):
-        got = {r.o: r.s for r in df.select("o", fuzzy(F.col("low"), F.col("o"), pattern).alias("s")).collect()}
+    for pattern in ("a", "ab", "aba", "a.b", "zz", "ba(", "abab", "'", "a'b", "\\", "\\a", "$a", "a%_"):
+        got = {r.o: r.s for r in df.select("o", fuzzy("low", "o", pattern).alias("s")).collect()}
         assert got == {t: walk(t.lower(), pattern, t) for t in texts}
 
 
