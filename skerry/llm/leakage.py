@@ -192,5 +192,24 @@ def p7_report(spark, sf_dir):
     return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+# DuckDB knows no compatibility forms, so the text folds the full-width block only; words and windows are those of the docstring.
+_FULL, _HALF = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3000", "".join(map(chr, range(0x21, 0x7F))).replace("'", "''") + " "
+_TAG_SQL = _TAG.pattern.replace("*+", "*").replace("'", "''")
+
+
+def _words_sql(key: str, rows: str) -> str:
+    return f"select {key}, regexp_extract_all(lower(translate(regexp_replace(text, '{_TAG_SQL}', ' ', 'gi'), '{_FULL}', '{_HALF}')), '[\\p{{L}}\\p{{N}}]+') as w from {rows} where text is not null and {key.split(',')[0]} is not null"
+
+
+_LEAKS_SQL = f"""with i as ({_words_sql("item_id, lang", "eval_items")}), d as ({_words_sql("doc_id", "documents")}),
+iw as (select item_id, array_to_string(w[k : k + {WORDS - 1}], ' ') as win from (select item_id, w, unnest(range(1, len(w) - {WORDS - 2})) as k from i where lang is null or lang not in {DENSE_LANGS})),
+dw as (select doc_id, array_to_string(w[k : k + {WORDS - 1}], ' ') as win from (select doc_id, w, unnest(range(1, len(w) - {WORDS - 2})) as k from d)),
+ic as (select item_id, substr(s, cast(k as int), {LETTERS}) as win from (select item_id, array_to_string(w, '') as s, unnest(range(1, length(array_to_string(w, '')) - {LETTERS - 2})) as k from i where lang in {DENSE_LANGS})),
+dc as (select doc_id, substr(s, cast(k as int), {LETTERS}) as win from (select doc_id, array_to_string(w, '') as s, unnest(range(1, length(array_to_string(w, '')) - {LETTERS - 2})) as k from d)),
+f as (select distinct doc_id, item_id from dw join (select distinct * from iw) using (win) union select distinct doc_id, item_id from dc join (select distinct * from ic) using (win))
+"""
 QUERIES = {"p7_found": p7_found, "p7_report": p7_report}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "p7_found": _LEAKS_SQL + "select doc_id, item_id from f",
+    "p7_report": _LEAKS_SQL + "select item_id, suite, (select count(*) from f where f.item_id = e.item_id) as n_docs from eval_items e where item_id is not null",
+}
