@@ -246,6 +246,8 @@ def read_line(line: str, at: int, scopes: Scopes) -> list[Leaf]:
         begin = line.find(body)
         out.append(Leaf(scopes.path(), at + begin, at + begin + len(body), "element"))
     _tokens(line, at, scopes, out)
+    # Arguments on later lines are no values of the key that the call is assigned to.
+    scopes.frames = [f._replace(key=None) if f.sign == "(" else f for f in scopes.frames]
     return out
 
 

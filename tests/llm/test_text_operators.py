@@ -196,6 +196,9 @@ NESTED = [
     ("postgres://svc:<password>@db.test/x", []),
     ("| secret | `1z*56g7iI*` |", ["1z*56g7iI*"]),
     ("Don't set password = 'abc123'", ["abc123"]),
+    ('token := fetch(\n  "https://x.test/a9",\n  "name9Bcd",\n)', []),
+    ('tokens = [\n  "aB3xyzQk9",\n  "plain",\n]\nother = ["aB3xyzQk9"]', ["aB3xyzQk9"]),
+    ('{"password": {"type": "string", "description": "aB3xyzQk9", "pattern": "^[a-z]9A+$"}}', []),
     ("{" * 500 + '"password": "x1y2z3w4"', ["x1y2z3w4"]),
 ]
 
