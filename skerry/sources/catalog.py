@@ -8,6 +8,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from functools import reduce
+from string import ascii_uppercase
 
 import pyarrow as pa
 from py4j.protocol import Py4JError
@@ -141,7 +142,10 @@ class DirectoryScan(DataSource):
         return _Reader(self.options)
 
 
-def default_roots() -> list[str]:
+def default_roots(system: str = os.name) -> list[str]:
+    """The user's folder, else the root; on Windows every drive that can be listed, else ``C:``."""
+    if system == "nt":
+        return [f"{d}:\\" for d in ascii_uppercase if os.path.isdir(f"{d}:\\")] or ["C:\\"]
     home = os.path.expanduser("~")
     return [home if os.path.isdir(home) else "/"]
 

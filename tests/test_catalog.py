@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skerry.engine import Engine, main
 from skerry.operators.snapshots import snapshot_changes
-from skerry.sources.catalog import CatalogStore, CorruptCatalog, _Reader, build_catalog, derive
+from skerry.sources.catalog import CatalogStore, CorruptCatalog, _Reader, build_catalog, default_roots, derive
 from skerry.streaming.updates import Updater, notice_stream
 
 SCHEMA = "snap_id int, path string, size bigint, mod bigint, is_dir boolean, seen_ts timestamp"
@@ -64,6 +64,17 @@ def test_content_search_opens_only_candidates(spark, tree, tmp_path):
     assert main(["stats", "--catalog", str(tmp_path / "cat")], spark, out) == 0 and "left out: " in out.getvalue()
 
 
+def test_a_held_catalog_follows_its_versions(spark, tree, tmp_path):
+    engine = Engine(spark, str(tmp_path / "cat"), hold=True)
+    engine.index([tree])
+    first = engine.catalog()
+    assert engine.catalog() is first and engine.pick("tui").endswith("tui.go")
+    os.rename(tree + "/src/ui/tui.go", tree + "/src/ui/gui.go")
+    engine.index([tree])
+    assert engine.pick("'tui.go") is None and engine.pick("gui").endswith("gui.go")
+    assert default_roots("nt") == ["C:\\"] and len(default_roots()) == 1
+
+
 def test_a_deep_folder_is_divided(spark, tmp_path):
     deep = tmp_path / "one" / "two"
     for i in range(40):
