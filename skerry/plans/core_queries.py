@@ -310,11 +310,11 @@ _regex("g_regex_case", "U\\.S\\. [a-z]+")
 
 
 # Lines with tabs, carriage returns and capitals: every blank a tab, every line of the text twice, the second in capitals.
-_HOSTILE = f"(select path, replace(text, ' ', chr(9)) || chr(13) || chr(13) || chr(10) || upper(replace(text, chr(10), chr(13) || chr(10))) as text from {CONTENTS_SQL})"
+_HOSTILE = f"(select path, replace(text, ' ', chr(9)) || chr(13) || chr(13) || chr(10) || translate(replace(text, chr(10), chr(13) || chr(10)), '{trees.LOWER}', '{trees.UPPER}') as text from {CONTENTS_SQL})"
 
 
 def _hostile(spark, sf_dir):
-    tabbed = F.concat(F.replace("text", F.lit(" "), F.lit("\t")), F.lit("\r\r\n"), F.upper(F.replace("text", F.lit("\n"), F.lit("\r\n"))))
+    tabbed = F.concat(F.replace("text", F.lit(" "), F.lit("\t")), F.lit("\r\r\n"), F.translate(F.replace("text", F.lit("\n"), F.lit("\r\n")), trees.LOWER, trees.UPPER))
     return trees.contents(spark, sf_dir).select("path", tabbed.alias("text"))
 
 
