@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Units of sizes, in steps of 1024 (fixed values).
 UNITS = ("KB", "MB", "GB", "TB", "PB")
 
 
